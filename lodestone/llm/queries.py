@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import exact_dedup
+from . import exact_dedup, line_dedup, packing
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,6 +16,35 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op3_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
+    import public_tokenizers
+
+    return packing.best_fit_packing(_table(spark, folder, "documents"), *map(public_tokenizers.path, ("byte_bpe_50k.json", "byte_bpe_50k.tiktoken")), public_tokenizers.PATTERN)
+
+
+def op4_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    out = line_dedup.line_dedup(_table(spark, folder, "pages"))
+    return out.select("page_id", "host", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
+OP4_SQL = r"""
+WITH p AS (
+  SELECT page_id, lower(regexp_extract(coalesce(url, ''), '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1)) AS host,
+         string_split(coalesce(html, ''), chr(10)) AS lines FROM pages
+), l AS (
+  SELECT page_id, host, i, lines[i] AS raw, regexp_replace(lines[i], '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g') AS line
+  FROM (SELECT page_id, host, lines, unnest(generate_series(1, len(lines))) AS i FROM p)
+), t AS (SELECT host, count(*) AS pages FROM p GROUP BY host HAVING count(*) >= 5
+), b AS (
+  SELECT host, line FROM (SELECT host, line, count(DISTINCT page_id) AS n FROM l WHERE line <> '' GROUP BY host, line) c
+  JOIN t USING (host) WHERE n > 1 AND n > 0.2 * pages
+)
+SELECT page_id, l.host, count(*) AS n_lines, count(b.line) AS n_dropped,
+       sha256(coalesce(string_agg(raw, chr(10) ORDER BY i) FILTER (WHERE b.line IS NULL), '')) AS kept_sha256
+FROM l LEFT JOIN b ON l.host = b.host AND l.line = b.line GROUP BY page_id, l.host
+"""
+
+
 def op9_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_dedup.exact_dedup(_table(spark, folder, "documents"))
 
@@ -30,8 +60,12 @@ FROM d WINDOW g AS (PARTITION BY text_sha256)
 
 
 def queries() -> dict[str, Query]:
-    return {"op9_exact_dedup": op9_exact_dedup}
+    return {
+        "op3_best_fit_packing": op3_best_fit_packing,
+        "op4_line_dedup": op4_line_dedup,
+        "op9_exact_dedup": op9_exact_dedup,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_exact_dedup": OP9_SQL}
+    return {"op4_line_dedup": OP4_SQL, "op9_exact_dedup": OP9_SQL}
