@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, line_dedup, packing
+from . import chat, exact_dedup, line_dedup, packing, pii, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -45,6 +45,37 @@ FROM l LEFT JOIN b ON l.host = b.host AND l.line = b.line GROUP BY page_id, l.ho
 """
 
 
+def op5_chat_formatting(spark: SparkSession, folder: str) -> DataFrame:
+    turns = _table(spark, folder, "conversations")
+    said = "</s>[INST] ok [/INST]"
+    extra = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    return chat.chat_digests(chat.format_chats(chat.turns_as_events(turns.select("conv_id", "turn", "role", "text").unionByName(extra))))
+
+
+def op8_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity.toxicity(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
+
+
+def op10_pii(spark: SparkSession, folder: str) -> DataFrame:
+    found = pii.find_pii(_table(spark, folder, "documents"))
+    counts = [f"n_{k}" for k in pii.KINDS]
+    return found.select("doc_id", *counts, F.sha2("base_spans", 256).alias("base_sha256"), "spans")
+
+
+OP5_SQL = r"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'
+)
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+       sum(23 + length(regexp_replace(role, '<(~*)\|', '<~\1|', 'g')) + length(regexp_replace(text, '<(~*)\|', '<~\1|', 'g')))::BIGINT AS formatted_chars
+FROM t GROUP BY conv_id
+"""
+
+
 def op9_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_dedup.exact_dedup(_table(spark, folder, "documents"))
 
@@ -63,9 +94,12 @@ def queries() -> dict[str, Query]:
     return {
         "op3_best_fit_packing": op3_best_fit_packing,
         "op4_line_dedup": op4_line_dedup,
+        "op5_chat_formatting": op5_chat_formatting,
+        "op8_toxicity": op8_toxicity,
         "op9_exact_dedup": op9_exact_dedup,
+        "op10_pii": op10_pii,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_line_dedup": OP4_SQL, "op9_exact_dedup": OP9_SQL}
+    return {"op4_line_dedup": OP4_SQL, "op5_chat_formatting": OP5_SQL, "op9_exact_dedup": OP9_SQL}
