@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, exact_dedup, line_dedup, packing, pii, toxicity
+from . import chat, decontaminate, exact_dedup, line_dedup, packing, pii, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -52,6 +52,10 @@ def op5_chat_formatting(spark: SparkSession, folder: str) -> DataFrame:
     return chat.chat_digests(chat.format_chats(chat.turns_as_events(turns.select("conv_id", "turn", "role", "text").unionByName(extra))))
 
 
+def op7_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return decontaminate.decontaminate(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
+
+
 def op8_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.toxicity(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
 
@@ -80,6 +84,26 @@ def op9_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_dedup.exact_dedup(_table(spark, folder, "documents"))
 
 
+OP7_SQL = r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM documents
+), i AS (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM benchmark
+), w AS (
+  SELECT DISTINCT item_id, n, array_to_string(words[s:s + n - 1], ' ') AS run
+  FROM (SELECT item_id, words, least(len(words), 10) AS n, unnest(generate_series(1, len(words) - least(len(words), 10) + 1)) AS s FROM i WHERE len(words) > 0)
+), p AS (SELECT doc_id, words, unnest(generate_series(1, len(words))) AS s FROM d
+), h AS (
+  SELECT doc_id, s, w.n, item_id FROM p CROSS JOIN (SELECT DISTINCT n FROM w) k JOIN w ON w.n = k.n AND array_to_string(p.words[p.s:p.s + k.n - 1], ' ') = w.run
+  WHERE p.s + k.n - 1 <= len(p.words)
+), c AS (SELECT doc_id, count(DISTINCT pos) AS n_hit FROM (SELECT doc_id, unnest(generate_series(s, s + n - 1)) AS pos FROM h) GROUP BY doc_id
+), x AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS items FROM (SELECT DISTINCT doc_id, item_id FROM h) GROUP BY doc_id)
+SELECT doc_id, len(words) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN c USING (doc_id) LEFT JOIN x USING (doc_id)
+"""
+
+
 OP9_SQL = r"""
 WITH d AS (
   SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256 FROM documents
@@ -95,6 +119,7 @@ def queries() -> dict[str, Query]:
         "op3_best_fit_packing": op3_best_fit_packing,
         "op4_line_dedup": op4_line_dedup,
         "op5_chat_formatting": op5_chat_formatting,
+        "op7_decontamination": op7_decontamination,
         "op8_toxicity": op8_toxicity,
         "op9_exact_dedup": op9_exact_dedup,
         "op10_pii": op10_pii,
@@ -102,4 +127,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_line_dedup": OP4_SQL, "op5_chat_formatting": OP5_SQL, "op9_exact_dedup": OP9_SQL}
+    return {"op4_line_dedup": OP4_SQL, "op5_chat_formatting": OP5_SQL, "op7_decontamination": OP7_SQL, "op9_exact_dedup": OP9_SQL}
