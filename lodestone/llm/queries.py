@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, exact_dedup, line_dedup, packing, pii, toxicity
+from . import chat, decontaminate, exact_dedup, line_dedup, near_dedup, packing, pii, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -52,6 +52,10 @@ def op5_chat_formatting(spark: SparkSession, folder: str) -> DataFrame:
     return chat.chat_digests(chat.format_chats(chat.turns_as_events(turns.select("conv_id", "turn", "role", "text").unionByName(extra))))
 
 
+def op6_minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return near_dedup.near_dedup(_table(spark, folder, "documents"), size=4, percent=80)
+
+
 def op7_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.decontaminate(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
 
@@ -119,6 +123,7 @@ def queries() -> dict[str, Query]:
         "op3_best_fit_packing": op3_best_fit_packing,
         "op4_line_dedup": op4_line_dedup,
         "op5_chat_formatting": op5_chat_formatting,
+        "op6_minhash_near_dedup": op6_minhash_near_dedup,
         "op7_decontamination": op7_decontamination,
         "op8_toxicity": op8_toxicity,
         "op9_exact_dedup": op9_exact_dedup,
