@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
+
 from . import chat, decontaminate, exact_dedup, line_dedup, near_dedup, packing, pii, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -128,8 +130,10 @@ def queries() -> dict[str, Query]:
         "op8_toxicity": op8_toxicity,
         "op9_exact_dedup": op9_exact_dedup,
         "op10_pii": op10_pii,
+        "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_line_dedup": OP4_SQL, "op5_chat_formatting": OP5_SQL, "op7_decontamination": OP7_SQL, "op9_exact_dedup": OP9_SQL}
+    own = {"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}
+    return own | {"op4_line_dedup": OP4_SQL, "op5_chat_formatting": OP5_SQL, "op7_decontamination": OP7_SQL, "op9_exact_dedup": OP9_SQL}

@@ -15,8 +15,9 @@ from dataclasses import dataclass, field
 
 import ahocorasick
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
@@ -214,6 +215,18 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
     return source.mapInArrow(run, f"k {docs.schema[key].dataType.simpleString()}, score double").withColumnRenamed("k", key)
 
 
+def scorer(spark: SparkSession, model: Model):
+    """The model's score as a column function of a text column."""
+    shared = spark.sparkContext.broadcast(model)
+
+    @F.pandas_udf("double")
+    def scored(texts: pd.Series) -> pd.Series:
+        own = shared.value
+        return pd.Series([own.score(t) for t in texts], dtype="float64")
+
+    return scored
+
+
 def toxicity(docs: DataFrame, labels: DataFrame, key: str = "doc_id") -> DataFrame:
     """Scores by a model that learns from ``labels`` only where the row is not held out: key, held_out, score, predicted."""
     model = train(docs.select(F.col(key).alias("doc_id"), "text"), labels.where(~held_out(F.col("doc_id"))))
