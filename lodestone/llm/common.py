@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
+import zipfile
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -27,11 +30,24 @@ def prepare(spark: SparkSession) -> SparkSession:
     """
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "400")
     context = spark.sparkContext
+    if not getattr(context, "_lodestone_shipped", False):
+        context.addPyFile(_package())
+        context._lodestone_shipped = True
     if context._jsc.sc().getCheckpointDir().isEmpty():
         context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lodestone-"))
     return spark
 
 
+def _package() -> str:
+    """A zip file of this library, for executors whose path does not hold it."""
+    root = Path(__file__).resolve().parents[2]
+    name = str(Path(tempfile.mkdtemp(prefix="lodestone-")) / "lodestone.zip")
+    with zipfile.ZipFile(name, "w") as out:
+        for path in sorted((root / "lodestone").rglob("*.py")):
+            out.write(path, path.relative_to(root))
+    return name
+
+
 def cut(df: DataFrame) -> DataFrame:
     """The rows, written to the shared checkpoint folder, so that no later loss recomputes them."""
     prepare(df.sparkSession)
@@ -142,3 +158,15 @@ def word_spans(data: np.ndarray, at: np.ndarray, gap: np.ndarray = SPACE) -> tup
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each word."""
     return span_hash(prefix_hash(data), starts, ends)
+
+
+def table(df: DataFrame) -> DataFrame:
+    """The rows, written as a Parquet table in the shared checkpoint folder (smaller there than a checkpoint).
+
+    The folder is the session's own checkpoint folder, which goes when the others in it do; shuffles that only led
+    here are let go.
+    """
+    spark = prepare(df.sparkSession)
+    path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
