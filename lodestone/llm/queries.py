@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 
-from . import chat, decontaminate, exact_dedup, line_dedup, near_dedup, packing, pii, toxicity
+from . import chat, decontaminate, exact_dedup, line_dedup, near_dedup, packing, pii, substring_dedup_bytes, substring_dedup_words, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -18,6 +18,14 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op1_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return substring_dedup_bytes.suffix_dedup(_table(spark, folder, "documents"))
+
+
+def op2_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return substring_dedup_words.window_dedup(_table(spark, folder, "documents"))
+
+
 def op3_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     import public_tokenizers
 
@@ -122,6 +130,8 @@ FROM d WINDOW g AS (PARTITION BY text_sha256)
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_suffix_dedup": op1_suffix_dedup,
+        "op2_substring_dedup": op2_substring_dedup,
         "op3_best_fit_packing": op3_best_fit_packing,
         "op4_line_dedup": op4_line_dedup,
         "op5_chat_formatting": op5_chat_formatting,
