@@ -8,8 +8,8 @@ sets have been compared.
 
 No bucket is ever expanded into all its pairs.  Equal sets are one class from the start.  Round one compares each member
 of a bucket with the bucket's first one; components of the confirmed links follow.  Round two compares, within a bucket, only
-members of different components, and only where one-bit sketches do not rule similarity out; those that agree are
-confirmed on full sets too, so links between classes that round one left apart are found, and none is dropped.
+members of different components, and only where sketches do not rule similarity out: parity sketches bound the shingles
+in which sets differ (a similar pair always passes), one-bit sketches help where sets are large.  Those left are confirmed on full sets too, so links between classes that round one left apart are found, and none is dropped.
 """
 
 from __future__ import annotations
@@ -29,6 +29,8 @@ SHINGLE, PERCENT = 5, 80
 SKETCH, ROWS = 128, 4
 #: One-bit sketches may differ in at most so many of SKETCH bits (12.8 are expected at 0.8; the bound is 7 deviations off).
 MAX_BITS = 38
+#: Bits of a parity sketch: each shingle flips one, so sketches differ in no more bits than sets in shingles.
+PARITY = 1024
 #: Rounds of label propagation before the caller is told that something is wrong.
 MAX_ROUNDS = 60
 
@@ -80,16 +82,16 @@ def sketch(h: np.ndarray, size: int = SKETCH) -> np.ndarray:
 
 
 def _sets(size: int):
-    """Key, set size, a hash of the set, bands and one-bit sketch of each row; no bands for an empty set."""
+    """Key, set size, a hash of the set, bands, one-bit and parity sketch of each row; no bands for an empty set."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, ids, bands, bits = [], [], [], []
+            n, ids, bands, bits, odd = [], [], [], [], []
             for _, _, data, at in common.blocks(batch.column("text")):
                 h, first = shingle_hashes(data, at, size)
                 for a, z in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
                     n.append(z - a)
                     if a == z:
-                        ids.append((0, 0)), bands.append([]), bits.append((0, 0))
+                        ids.append((0, 0)), bands.append([]), bits.append((0, 0)), odd.append([])
                         continue
                     own = h[a:z]
                     one, two = common.mix(own).sum(dtype=U64), common.mix(own ^ U64(0xA5A5A5A5A5A5A5A5)).sum(dtype=U64)
@@ -101,10 +103,12 @@ def _sets(size: int):
                     bands.append(prefix[:, 0].view(np.int64))
                     packed = np.packbits((s & U64(1)).astype(np.uint8)).view(np.int64)
                     bits.append((packed[0], packed[1]))
+                    flips = np.bincount((own & U64(PARITY - 1)).astype(np.int64), minlength=PARITY) & 1
+                    odd.append(np.packbits(flips.astype(np.uint8)).view(np.int64))
             yield pa.RecordBatch.from_arrays([
                 batch.column("k"), pa.array(n, pa.int64()), *(pa.array([x[j] for x in ids], pa.int64()) for j in (0, 1)),
-                pa.array(bands, pa.list_(pa.int64())), *(pa.array([x[j] for x in bits], pa.int64()) for j in (0, 1)),
-            ], names=["k", "n", "s1", "s2", "bands", "b1", "b2"])
+                pa.array(bands, pa.list_(pa.int64())), *(pa.array([x[j] for x in bits], pa.int64()) for j in (0, 1)), pa.array(odd, pa.list_(pa.int64())),
+            ], names=["k", "n", "s1", "s2", "bands", "b1", "b2", "odd"])
     return run
 
 
@@ -175,11 +179,11 @@ def near_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", size: i
     common.prepare(docs.sparkSession)
     kind = docs.schema[key].dataType.simpleString()
     source = docs.select(F.col(key).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    sets = common.cut(source.mapInArrow(_sets(size), f"k {kind}, n long, s1 long, s2 long, bands array<long>, b1 long, b2 long"))
+    sets = common.cut(source.mapInArrow(_sets(size), f"k {kind}, n long, s1 long, s2 long, bands array<long>, b1 long, b2 long, odd array<long>"))
     full = sets.where("n > 0")
     # classes of equal sets; their first key stands for all
     classes = full.groupBy("n", "s1", "s2").agg(F.min("k").alias("v"))
-    heads = common.cut(full.join(classes, ["n", "s1", "s2"]).where("k = v").dropDuplicates(["v"]).select("v", "n", "bands", "b1", "b2"))
+    heads = common.cut(full.join(classes, ["n", "s1", "s2"]).where("k = v").dropDuplicates(["v"]).select("v", "n", "bands", "b1", "b2", "odd"))
     rows = heads.select("v", "n", "b1", "b2", F.posexplode("bands").alias("band", "h"))
     buckets = rows.groupBy("band", "h").agg(F.min("v").alias("lead"), F.count("*").alias("m")).where("m > 1")
     members = common.cut(rows.join(buckets, ["band", "h"]).select("v", "n", "b1", "b2", "band", "h", "lead"))
@@ -193,11 +197,14 @@ def near_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", size: i
     # round two: between components, within buckets
     held = members.join(labels, "v")
     split = held.groupBy("band", "h").agg(F.min("c").alias("x"), F.max("c").alias("z")).where("x <> z").select("band", "h")
-    left = common.cut(held.join(split, ["band", "h"], "left_semi"))
-    one = left.select("band", "h", *(F.col(c).alias(f"{c}_a") for c in ("v", "n", "b1", "b2", "c")))
-    two = left.select("band", "h", *(F.col(c).alias(f"{c}_b") for c in ("v", "n", "b1", "b2", "c")))
+    left = common.table(held.join(split, ["band", "h"], "left_semi").join(heads.select("v", "odd"), "v"))
+    one = left.select("band", "h", *(F.col(c).alias(f"{c}_a") for c in ("v", "n", "b1", "b2", "odd", "c")))
+    two = left.select("band", "h", *(F.col(c).alias(f"{c}_b") for c in ("v", "n", "b1", "b2", "odd", "c")))
+    # similar sets differ in at most (100 - percent) hundredths of their union, which has at most 100 / percent times the smaller
+    flips = " + ".join(f"bit_count(odd_a[{k}] ^ odd_b[{k}])" for k in range(PARITY // 64))
     apart = F.expr(
         f"c_a < c_b AND 100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b) AND bit_count(b1_a ^ b1_b) + bit_count(b2_a ^ b2_b) <= {MAX_BITS}"
+        f" AND {percent} * ({flips}) <= {100 - percent} * least(n_a, n_b)"
     )
     pairs = one.join(two, ["band", "h"]).where(apart).select(F.col("v_a").alias("a"), F.col("v_b").alias("b")).distinct()
     more = common.cut(confirmed(common.cut(pairs), wanted, size, percent, kind))
