@@ -38,20 +38,20 @@ def op4_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 
 OP4_SQL = r"""
-WITH p AS (
+WITH x AS (
   SELECT page_id, lower(regexp_extract(coalesce(url, ''), '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1)) AS host,
-         string_split(coalesce(html, ''), chr(10)) AS lines FROM pages
-), l AS (
-  SELECT page_id, host, i, lines[i] AS raw, regexp_replace(lines[i], '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g') AS line
-  FROM (SELECT page_id, host, lines, unnest(generate_series(1, len(lines))) AS i FROM p)
+         regexp_replace(regexp_replace(regexp_replace(coalesce(html, ''), '(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<!--.*?-->', '', 'g'),
+           '(?i)</?(?:address|article|aside|blockquote|body|br|dd|div|dl|dt|footer|form|h[1-6]|head|header|hr|html|li|main|nav|ol|p|pre|section|table|td|th|title|tr|ul)\b[^>]*>', chr(10), 'g'),
+           '<[^>]*>', '', 'g') AS text FROM pages
+), p AS (
+  SELECT page_id, host, list_filter(list_transform(string_split(text, chr(10)), lambda v: regexp_replace(v, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g')), lambda v: v <> '') AS lines FROM x
 ), t AS (SELECT host, count(*) AS pages FROM p GROUP BY host HAVING count(*) >= 5
 ), b AS (
-  SELECT host, line FROM (SELECT host, line, count(DISTINCT page_id) AS n FROM l WHERE line <> '' GROUP BY host, line) c
+  SELECT host, line FROM (SELECT host, line, count(*) AS n FROM (SELECT host, unnest(list_distinct(lines)) AS line FROM p) GROUP BY host, line) c
   JOIN t USING (host) WHERE n > 1 AND n > 0.2 * pages
-)
-SELECT page_id, l.host, count(*) AS n_lines, count(b.line) AS n_dropped,
-       sha256(coalesce(string_agg(raw, chr(10) ORDER BY i) FILTER (WHERE b.line IS NULL), '')) AS kept_sha256
-FROM l LEFT JOIN b ON l.host = b.host AND l.line = b.line GROUP BY page_id, l.host
+), l AS (SELECT host, list(line) AS gone FROM b GROUP BY host
+), k AS (SELECT page_id, p.host, lines, list_filter(lines, lambda v: NOT list_contains(coalesce(gone, []), v)) AS kept FROM p LEFT JOIN l ON p.host = l.host)
+SELECT page_id, host, len(lines) AS n_lines, len(lines) - len(kept) AS n_dropped, sha256(array_to_string(kept, chr(10))) AS kept_sha256 FROM k
 """
 
 
