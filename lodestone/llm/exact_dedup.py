@@ -123,7 +123,7 @@ def exact_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     )
     split = prints.withColumn("part", F.lit(""))
     if not differing.isEmpty():
-        split = prints.join(differing.withColumn("d", F.lit(True)), ["fp", "n_bytes"], "left").withColumn("part", F.when("d", F.col("text_sha256")).otherwise("")).drop("d")
+        split = prints.join(differing.withColumn("d", F.lit(True)), ["fp", "n_bytes"], "left").withColumn("part", F.when(F.col("d"), F.col("text_sha256")).otherwise("")).drop("d")
     groups = split.groupBy("fp", "n_bytes", "part").agg(F.min(F.struct(F.col("k"))).alias("lead"), F.count("*").alias("group_size"))
     return split.join(groups, ["fp", "n_bytes", "part"]).select(
         F.col("k").alias(key), F.col("lead.k").alias("keep_id"), "group_size", F.col("k").eqNullSafe(F.col("lead.k")).alias("kept"), "text_sha256"

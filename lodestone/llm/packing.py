@@ -123,9 +123,10 @@ def _pack(stage: int, size: int, keys: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        table = pa.Table.from_batches(list(batches))
-        if not table.num_rows:
+        held = list(batches)
+        if not held or not any(b.num_rows for b in held):
             return
+        table = pa.Table.from_batches(held)
         table = table.sort_by([("length", "descending"), *((k, "ascending") for k in keys)])
         bins, offsets, fills = best_fit(table["length"].to_numpy(), size)
         base = (stage << 58) | (TaskContext.get().partitionId() << 32)
