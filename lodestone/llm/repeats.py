@@ -2,7 +2,7 @@
 
 Any repeated run of ``length`` units holds the same anchor in each of its occurrences: the gram of ``gram`` units with the
 least hash among those in it (winnowing).  So only anchors are dealt out, about two for every length - gram + 2 units.
-An anchor's context is all that a run holding it can reach.  Sorted by anchor and context, a stream shows
+An anchor's context is all that runs in which it is the least can reach.  Sorted by anchor and context, a stream shows
 which contexts are repeats as a whole (all their runs are), and which anchors have several contexts; only the
 latter's texts are fetched and compared run by run.
 """
@@ -71,17 +71,26 @@ def winnow(h: np.ndarray, width: int) -> np.ndarray:
 
 
 def anchors_of(prefix: np.ndarray, first: int, last: int, units: Units) -> tuple[np.ndarray, ...]:
-    """Anchor hash, context hash, place, and reach to the right of a document's anchors (its units are first:last of prefix)."""
+    """Anchor hash, context hash and packed place of a document's anchors (its units are first:last of prefix).
+
+    A run counts for the anchor that is least in it, so a context ends where a neighbouring anchor is less.
+    """
     n = last - first
     if n < units.length:
-        return (np.zeros(0, U64),) * 2 + (np.zeros(0, np.int64),) * 2
+        return (np.zeros(0, U64),) * 2 + (np.zeros(0, np.int64),)
     begin = np.arange(first, last - units.gram + 1)
     h = common.span_hash(prefix, begin, begin + units.gram)
-    at = winnow(h, units.length - units.gram + 1)
-    low = np.maximum(at - (units.length - units.gram), 0)
-    high = np.minimum(at + units.length, n)
+    width = units.length - units.gram + 1
+    at = winnow(h, width)
+    least = h[at]
+    low, start = np.maximum(at - (width - 1), 0), np.minimum(at, n - units.length)  # the first and the last start of a run
+    less = least[:-1] < least[1:]
+    low[1:] = np.where(less, np.maximum(low[1:], at[:-1] + 1), low[1:])
+    less = least[1:] < least[:-1]
+    start[:-1] = np.where(less, np.minimum(start[:-1], at[1:] - width), start[:-1])
+    high = start + units.length
     context = common.span_hash(prefix, first + low, first + high) ^ common.mix((at - low).astype(U64) + U64(1))
-    return h[at], context, at, high - at
+    return least, context, at << 16 | (at - low) << 8 | (high - at)
 
 
 def _anchors(units: Units):
@@ -91,14 +100,14 @@ def _anchors(units: Units):
             for begin, end, data, at in common.blocks(batch.column("text")):
                 prefix, first, _, _ = units.of(data, at)
                 found = [anchors_of(prefix, int(a), int(z), units) for a, z in zip(first[:-1], first[1:], strict=True)]
-                h, c, p, reach = (np.concatenate(x) for x in zip(*found, strict=True))
+                h, c, q = (np.concatenate(x) for x in zip(*found, strict=True))
                 d = np.repeat(keys[begin:end], [len(x[0]) for x in found])
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (h.view(np.int64), c.view(np.int64), d, p << 8 | reach)], names=["h", "c", "d", "q"])
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (h.view(np.int64), c.view(np.int64), d, q)], names=["h", "c", "d", "q"])
     return run
 
 
 def anchors(source: DataFrame, units: Units) -> DataFrame:
-    """Anchors (h, c, d, q: place and reach) of ``source`` (d, text)."""
+    """Anchors (h, c, d, q: place, reach to the left, reach to the right) of ``source`` (d, text)."""
     return source.mapInArrow(_anchors(units), "h long, c long, d long, q long")
 
 
@@ -108,8 +117,8 @@ def _mark(units: Units):
     Nothing is held but the anchors of an unfinished group whose fate is open: the firsts of its contexts.
     """
     def spans(d, q, h, chosen):
-        at, reach = q[chosen] >> 8, q[chosen] & 255
-        return d[chosen], np.maximum(at - (units.length - units.gram), 0), at + reach, h[chosen]
+        at = q[chosen] >> 16
+        return d[chosen], at - (q[chosen] >> 8 & 255), at + (q[chosen] & 255), h[chosen]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         carry = [np.zeros(0, np.int64)] * 4 + [np.zeros(0, bool)] * 2

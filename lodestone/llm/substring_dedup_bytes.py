@@ -120,10 +120,9 @@ def adjacent_prefixes(suffixes: np.ndarray, keys: np.ndarray, limit: int) -> np.
     top = len(keys) - 1
     for at in range(0, limit, 8):
         x = keys[np.minimum(suffixes[live] + at, top)] ^ keys[np.minimum(suffixes[live - 1] + at, top)]
-        part = np.full(len(live), 8)
-        for k in range(8):
-            part[(x >> U64(8 * (7 - k))) & U64(255) != 0] = np.minimum(part[(x >> U64(8 * (7 - k))) & U64(255) != 0], k)
-        out[live] += part
+        ends = np.flatnonzero(x)
+        out[live] += 8
+        out[live[ends]] += (x[ends].byteswap().view(np.uint8).reshape(-1, 8) != 0).argmax(1) - 8
         live = live[x == 0]
         if not len(live):
             break

@@ -337,7 +337,7 @@ def test_repeats_marks_across_batches():
     rnd = random.Random(1)
     for strict in (False, True):
         units = dataclasses.replace(substring_dedup_bytes.UNITS, strict=strict)
-        rows = sorted((rnd.randrange(4), rnd.randrange(4), rnd.randrange(6), (rnd.randrange(500) << 8) | 100, rnd.random() < 0.3) for _ in range(200))
+        rows = sorted((rnd.randrange(4), rnd.randrange(4), rnd.randrange(6), (rnd.randrange(100, 500) << 16) | (9 << 8) | 100, rnd.random() < 0.3) for _ in range(200))
         batch = lambda part: pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*part, strict=True)], names=["h", "c", "d", "q", "old"])
         marks = lambda size: {tuple(r.values()) for b in repeats._mark(units)(iter([batch(rows[i : i + size]) for i in range(0, len(rows), size)])) for r in b.to_pylist()}
         assert marks(200) == marks(7) == marks(1)
