@@ -14,6 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -101,13 +102,20 @@ def _anchors(units: Units):
                 prefix, first, _, _ = units.of(data, at)
                 found = [anchors_of(prefix, int(a), int(z), units) for a, z in zip(first[:-1], first[1:], strict=True)]
                 h, c, q = (np.concatenate(x) for x in zip(*found, strict=True))
-                d = np.repeat(keys[begin:end], [len(x[0]) for x in found])
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (h.view(np.int64), c.view(np.int64), d, q)], names=["h", "c", "d", "q"])
+                d = np.repeat(np.arange(begin, end), [len(x[0]) for x in found])
+                again = np.zeros(len(h), bool)
+                if not units.strict:  # a context that its document has had before is a repeat whatever other documents have
+                    order = np.lexsort((q, c, h, d))
+                    again[order[1:]] = (h[order][1:] == h[order][:-1]) & (c[order][1:] == c[order][:-1]) & (d[order][1:] == d[order][:-1])
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64), mask=again), *map(pa.array, (c.view(np.int64), keys[d], q))], names=["h", "c", "d", "q"])
     return run
 
 
 def anchors(source: DataFrame, units: Units) -> DataFrame:
-    """Anchors (h, c, d, q: place, reach to the left, reach to the right) of ``source`` (d, text)."""
+    """Anchors (h, c, d, q: place, reach to the left, reach to the right) of ``source`` (d, text).
+
+    Unless only other documents count, a context's further occurrences within a document have a null h: they are repeats.
+    """
     return source.mapInArrow(_anchors(units), "h long, c long, d long, q long")
 
 
@@ -123,6 +131,12 @@ def _mark(units: Units):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         carry = [np.zeros(0, np.int64)] * 4 + [np.zeros(0, bool)] * 2
         for batch in _and_end(batches):
+            if batch is not None and batch.column("h").null_count:
+                sure = batch.filter(pc.is_null(batch.column("h")))
+                sd, sq = (sure.column(x).to_numpy() for x in ("d", "q"))
+                sd, sa, sz, _ = spans(sd, sq, sd, slice(None))
+                yield pa.RecordBatch.from_arrays([pa.array(sd), pa.array(sa), pa.array(sz), pa.nulls(len(sd), pa.int64())], names=["d", "a", "z", "h"])
+                batch = batch.filter(pc.is_valid(batch.column("h")))
             own = [batch.column(x).to_numpy(zero_copy_only=False) for x in ("h", "c", "d", "q", "old")] if batch is not None else [x[:0] for x in carry[:5]]
             h, c, d, q, old, told = (np.concatenate([a, b]) for a, b in zip(carry, [*own, np.zeros(len(own[0]), bool)], strict=True))
             n = len(h)
@@ -162,7 +176,7 @@ def _and_end(batches: Iterator) -> Iterator:
 
 def mark(rows: DataFrame, units: Units) -> DataFrame:
     """Spans (d, a, z, h) from anchors (h, c, d, q, old): see ``_mark``."""
-    return rows.repartition("h").sortWithinPartitions("h", "c", "d", "q").mapInArrow(_mark(units), "d long, a long, z long, h long")
+    return rows.repartition(F.coalesce("h", F.xxhash64("d", "q"))).sortWithinPartitions("h", "c", "d", "q").mapInArrow(_mark(units), "d long, a long, z long, h long")
 
 
 def _fragments(units: Units):
