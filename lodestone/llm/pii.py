@@ -21,8 +21,8 @@ from . import common
 
 #: Kinds in the order in which spans are listed.
 KINDS = ("email", "ip", "card", "phone")
-#: Tokens decoded on each side of a trigger, and windows decoded at once.
-WINDOW, BATCH = 6, 512
+#: Tokens decoded on each side of a trigger, windows decoded at once, and tokens of each that are scored at once.
+WINDOW, BATCH, BLOCK = 6, 512, 256
 
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]+")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -200,20 +200,30 @@ class Field:
         a[:, [k for k, v in enumerate(LABELS) if v[0] == "I"]] += np.array([[0 if LABELS[i][2:] == LABELS[j][2:] and i else -1e4 for j in range(size) if LABELS[j][0] == "I"] for i in range(size)])
         return cls(vocabulary, w, a)
 
-    def decode(self, windows: list[list[tuple[str, int, int]]]) -> list[list[int]]:
-        """The likeliest labels of each window, by Viterbi over all of them at once."""
-        n, longest, size = len(windows), max(map(len, windows)), len(LABELS)
-        e, live = np.zeros((n, longest, size)), np.zeros((n, longest), bool)
+    def _emissions(self, windows: list[list[tuple[str, int, int]]], low: int, high: int) -> tuple[np.ndarray, np.ndarray]:
+        """Scores of the tokens ``low`` to ``high`` of each window, and which of them it has; features see two tokens further."""
+        e, live = np.zeros((len(windows), high - low, len(LABELS))), np.zeros((len(windows), high - low), bool)
+        begin = max(0, low - 2)
         for i, window in enumerate(windows):
-            live[i, : len(window)] = True
-            for k, token in enumerate(features(window)):
+            count = max(0, min(high, len(window)) - low)
+            live[i, :count] = True
+            for k, token in enumerate(features(window[begin : high + 2])[low - begin : low - begin + count]):
                 e[i, k] = self.emission[[j for v in token if (j := self.vocabulary.get(v)) is not None]].sum(0)
-        start = np.array([-1e4 if v[0] == "I" else 0 for v in LABELS])
-        best, back = e[:, 0] + start, np.zeros((n, longest, size), int)
-        for t in range(1, longest):
-            paths = best[:, :, None] + self.transition
-            back[:, t] = np.where(live[:, t, None], paths.argmax(1), np.arange(size))
-            best = np.where(live[:, t, None], paths.max(1) + e[:, t], best)
+        return e, live
+
+    def decode(self, windows: list[list[tuple[str, int, int]]]) -> list[list[int]]:
+        """The likeliest labels of each window, by Viterbi over all of them at once; of long ones only the way back is held."""
+        n, longest, size = len(windows), max(map(len, windows)), len(LABELS)
+        best, back = np.array([[-1e4 if v[0] == "I" else 0.0 for v in LABELS]] * n), np.zeros((n, longest, size), np.int8)
+        for low in range(0, longest, BLOCK):
+            e, live = self._emissions(windows, low, min(longest, low + BLOCK))
+            for t in range(e.shape[1]):
+                if low + t == 0:
+                    best = e[:, 0] + best
+                    continue
+                paths = best[:, :, None] + self.transition
+                back[:, low + t] = np.where(live[:, t, None], paths.argmax(1), np.arange(size))
+                best = np.where(live[:, t, None], paths.max(1) + e[:, t], best)
         at, out = best.argmax(1), np.zeros((n, longest), int)
         for t in range(longest - 1, -1, -1):
             out[:, t] = at
@@ -231,7 +241,7 @@ _TRIGGER = re.compile(r"[0-9@]|[\[(]\s?at\s?[\])]")
 
 
 def windows_of(text: str) -> list[list[tuple[str, int, int]]]:
-    """Runs of tokens that hold all triggers, with WINDOW tokens on each side."""
+    """Runs of tokens that hold all triggers, with WINDOW tokens on each side; a run is never cut, however long."""
     out, lines_from = [], 0
     triggers = [m.start() for m in _TRIGGER.finditer(text)]
     k = 0
@@ -253,9 +263,6 @@ def windows_of(text: str) -> list[list[tuple[str, int, int]]]:
         for token, keep in zip(tokens, inside.tolist(), strict=True):
             if keep:
                 run.append(token)
-                if len(run) == 256:  # a table of numbers: windows of bounded length
-                    out.append(run)
-                    run = []
             elif run:
                 out.append(run)
                 run = []
@@ -294,13 +301,24 @@ def spans_of(labels: list[int], window: list[tuple[str, int, int]], text: str) -
         k = end
 
 
+def _batches(windows: list[tuple[int, list[tuple[str, int, int]]]]) -> Iterator[list[tuple[int, list[tuple[str, int, int]]]]]:
+    """The windows, shorter ones first, by at most BATCH and at most BATCH * BLOCK tokens with padding, or one longer window."""
+    part: list[tuple[int, list[tuple[str, int, int]]]] = []
+    for item in sorted(windows, key=lambda x: len(x[1])):
+        if part and (len(part) == BATCH or (len(part) + 1) * len(item[1]) > BATCH * BLOCK):
+            yield part
+            part = []
+        part.append(item)
+    if part:
+        yield part
+
+
 def find(texts: list[str], field: Field) -> list[tuple[list[Span], list[Span]]]:
     """Base spans and added spans of each text; added ones overlap no base span and none of their own kind."""
     base = [base_spans(t) for t in texts]
     windows = [(i, w) for i, t in enumerate(texts) for w in windows_of(t)]
     added: list[list[Span]] = [[] for _ in texts]
-    for at in range(0, len(windows), BATCH):
-        part = windows[at : at + BATCH]
+    for part in _batches(windows):
         for (i, w), labels in zip(part, field.decode([w for _, w in part]), strict=True):
             for span in spans_of(labels, w, texts[i]):
                 if all(span[2] <= a or z <= span[1] for _, a, z in base[i]):

@@ -317,6 +317,27 @@ def test_pii_field_fits_its_table():
         assert field.decode([tokens])[0] == tags
 
 
+def test_pii_spans_in_long_runs():
+    """A directory without a pause in its digits: each entry's span is found as it is in a text of its own."""
+    rnd = random.Random(1)
+    lines = [f"call me at ({rnd.randrange(200, 999)}) 555-{rnd.randrange(10_000):04} tomorrow" for _ in range(300)]
+    text = "\n".join(lines)
+    begin, want = 0, []
+    for line in lines:
+        want.append(("phone", begin + 11, begin + 25))
+        begin += len(line) + 1
+    assert pii.find([text, "", *lines[:3]], pii.trained())[0] == ([], want)
+    assert len(pii.windows_of(text)[0]) > 2000
+
+
+def test_pii_labels_do_not_depend_on_blocks(monkeypatch):
+    rnd = random.Random(2)
+    windows = [pii.tokens_of(" ".join(re.sub(r"\{\w+:([^}]*)\}", r"\1", rnd.choice(pii.EXAMPLES)) for _ in range(k))) for k in (1, 7, 30, 2)]
+    whole = pii.trained().decode(windows)
+    monkeypatch.setattr(pii, "BLOCK", 3)
+    assert pii.trained().decode(windows) == whole == [pii.trained().decode([w])[0] for w in windows]
+
+
 EMPTY = "doc_id long, text string, lang string, source string, n_chars long"
 
 
