@@ -22,6 +22,8 @@ LENGTH = 100
 UNITS = repeats.Units(length=LENGTH, gram=32, words=False, strict=False, hot=24_000)
 
 U64 = np.uint64
+#: UTF-8 never holds the byte 0xC0, so those below it move up by one, in their order, and 0 is left for the separator.
+_SHIFTED = bytes(b + (b < 0xC0) for b in range(256))
 
 
 def word_keys(text: np.ndarray) -> np.ndarray:
@@ -79,7 +81,7 @@ def sort_directly(suffixes: np.ndarray, keys: np.ndarray, depth: int) -> np.ndar
 def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
     """The suffixes of ``text`` in the order of their first ``depth`` bytes at least (where they reach so far).
 
-    Zero bytes separate what was concatenated, so suffixes that start with one are not told apart.
+    Zero bytes separate what was concatenated, so suffixes that start with one are not told apart; texts must hold none.
     """
     n = len(text)
     if not n:
@@ -132,7 +134,7 @@ def adjacent_prefixes(suffixes: np.ndarray, keys: np.ndarray, limit: int) -> np.
 def later_strings(parts: list[bytes], d: np.ndarray, a: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Spans of the fragments' strings of LENGTH bytes that start earlier (by document, then place) in another place too."""
     sizes = np.array([len(p) for p in parts])
-    text = np.frombuffer(b"\0".join(parts) + b"\0", np.uint8)
+    text = np.frombuffer(b"\0".join([p.translate(_SHIFTED) for p in parts]) + b"\0", np.uint8)
     begin = np.cumsum(sizes + 1) - (sizes + 1)
     order = suffix_array(text, LENGTH)
     starts = np.zeros(len(text), bool)

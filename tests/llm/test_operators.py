@@ -74,6 +74,31 @@ def test_suffix_dedup_of_hot_anchors(spark, monkeypatch):
     assert result(substring_dedup_bytes.suffix_dedup(frame(spark, docs)), *BYTES) == brute.suffix(docs)
 
 
+def nul_corpus(seed):
+    """Texts with NUL characters that share passages within differing contexts, as UTF-16 read as UTF-8 has them."""
+    rnd = random.Random(seed)
+    wide = lambda k: "".join(rnd.choice("abhé") + "\0" for _ in range(k))
+    passages = [wide(90), "\0" * 40 + wide(60), "".join(rnd.choice("\0\0ab") for _ in range(220)), "\0" * 130]
+    return [(d, wide(rnd.randint(1, 60)) + "".join(rnd.choice(passages) + wide(rnd.randint(0, 30)) for _ in range(3))) for d in range(60)]
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_suffix_dedup_with_nul(spark, seed):
+    docs = nul_corpus(seed)
+    assert result(substring_dedup_bytes.suffix_dedup(frame(spark, docs)), *BYTES) == brute.suffix(docs)
+
+
+def test_later_strings_with_nul():
+    """Of fragments with NUL bytes, all strings of LENGTH bytes that start earlier too."""
+    parts = [text.encode() for _, text in nul_corpus(3)]
+    d, a, z = substring_dedup_bytes.later_strings(parts, np.arange(len(parts)), np.zeros(len(parts), np.int64))
+    got = [[0, 0] for _ in parts]
+    for k, x, y in zip(d.tolist(), a.tolist(), z.tolist(), strict=True):
+        got[k] = [got[k][0] + y - x, got[k][1] + 1]
+    want = brute.suffix([(k, part.decode()) for k, part in enumerate(parts)])
+    assert got == [list(want[k][1:3]) for k in range(len(parts))]
+
+
 def test_suffix_array():
     rnd = random.Random(5)
     for letters in (b"ab", b"abc", bytes(range(1, 256))):
