@@ -1,8 +1,8 @@
 """A corpus pipeline: toxicity, exact and near duplicates, benchmark contamination, packing.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of ``docs``.  A stage
-judges every row that its predecessor kept.  ``doc_id`` names a document: rows that repeat one are judged together and,
-if they are equal, stay once.
+judges every row that its predecessor kept, by itself: rows with a null ``doc_id`` or one that others have too are
+documents like all others.  Null ids come before all others, and rows that share an id are ordered by a hash of their texts.
 """
 
 from __future__ import annotations
@@ -14,10 +14,19 @@ from pyspark.sql import functions as F
 from lodestone.llm import common, decontaminate, exact_dedup, near_dedup, packing, toxicity
 
 
-def _without(docs: DataFrame, verdicts: DataFrame) -> DataFrame:
-    """The rows whose id ``verdicts`` (doc_id, kept) keeps; null ids are kept."""
-    dropped = common.cut(verdicts.groupBy("doc_id").agg(F.max("kept").alias("kept")).where("NOT kept").select("doc_id"))
-    return docs.join(common.maybe_broadcast(dropped), "doc_id", "left_anti")
+def _numbered(docs: DataFrame) -> DataFrame:
+    """``docs`` with a key ``_row`` in the order of doc_id, unique and not null: doc_id itself if it is so, else a number."""
+    if docs.groupBy("doc_id").count().where("count > 1 OR doc_id IS NULL").isEmpty():
+        return docs.withColumn("_row", F.col("doc_id"))
+    order = (F.col("doc_id"), F.xxhash64("text"))  # so that an id of many rows is dealt to many tasks
+    rows = docs.repartitionByRange(*order).sortWithinPartitions(*order, "text")
+    return common.cut(rows.withColumn("_row", F.monotonically_increasing_id()))
+
+
+def _without(rows: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """The numbered rows that ``verdicts`` (_row, kept) keeps, without their numbers."""
+    dropped = common.cut(verdicts.where("NOT kept").select("_row"))
+    return rows.join(common.maybe_broadcast(dropped), "_row", "left_anti").drop("_row")
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,22 +38,21 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the document with the smallest id stays."""
-    repeated = common.cut(docs.groupBy("doc_id").count().where("count > 1").select("doc_id"))
-    if not repeated.isEmpty():
-        some = docs.join(common.maybe_broadcast(repeated), docs["doc_id"].eqNullSafe(repeated["doc_id"]), "left_semi").dropDuplicates()
-        docs = common.cut(docs.join(common.maybe_broadcast(repeated), docs["doc_id"].eqNullSafe(repeated["doc_id"]), "left_anti").unionByName(some))
-    return _without(docs, exact_dedup.exact_dedup(docs))
+    rows = _numbered(docs)
+    return _without(rows, exact_dedup.exact_dedup(rows, key="_row"))
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates stays, the one with the smallest id."""
-    return _without(docs, near_dedup.near_dedup(docs))
+    rows = _numbered(docs)
+    return _without(rows, near_dedup.near_dedup(rows, key="_row"))
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a window of a benchmark item go."""
-    found = decontaminate.find_contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return _without(docs, found.select("doc_id", (F.size("runs") == 0).alias("kept")))
+    rows = _numbered(docs)
+    found = decontaminate.find_contamination(rows, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), key="_row")
+    return _without(rows, found.select("_row", (F.size("runs") == 0).alias("kept")))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -417,6 +417,22 @@ def test_pipeline_takes_repeated_rows_once(spark):
     assert sorted((r.doc_id or 0) for r in out.collect()) == [0, 1, 2]
 
 
+def test_pipeline_judges_rows_with_null_and_shared_ids(spark, tmp_path):
+    """Verdicts hold for rows: a null id keeps none, and a kept row keeps no other one of its id."""
+    item = "these are the very words of an item of the benchmark which no text may hold"
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    one, two = (" ".join(f"{c}{k}" for k in range(100)) for c in "ab")
+
+    def kept(stage, rows):
+        out = stage(spark, spark.createDataFrame(rows, "doc_id long, text string"), str(tmp_path))
+        assert out.columns == ["doc_id", "text"]
+        return sorted(((r.doc_id, r.text) for r in out.collect()), key=str)
+
+    assert kept(corpus_pipeline.exact_dedup_stage, [(0, "y"), (1, "x"), (1, "y"), (None, "z"), (None, "z"), (None, "v"), (5, "z")]) == [(0, "y"), (1, "x"), (None, "v"), (None, "z")]
+    assert kept(corpus_pipeline.near_dedup_stage, [(2, one), (3, two), (3, one + " c"), (None, "d " + two), (None, two + " d")]) == [(2, one), (None, "d " + two)]
+    assert kept(corpus_pipeline.decontamination_stage, [(None, item), (None, "e"), (1, "f " + item), (1, "f"), (2, "g"), (3, item)]) == [(1, "f"), (2, "g"), (None, "e")]
+
+
 def test_registered():
     names = list(queries.queries())
     assert [n for n in names if n.startswith("op")] == sorted((n for n in names if n.startswith("op")), key=lambda n: int(n[2:].split("_")[0])) and "pipeline" in names
