@@ -1,9 +1,9 @@
 """Best-fit packing of token sequences by hierarchical residual merging.
 
 Pieces are spread over partitions of bounded size.  Each partition packs its own pieces best-fit, longest first, emits
-bins that are nearly full, and hands on the underfull ones as single items; those are packed again in fewer partitions,
-round by round, until one partition of bounded size holds them.  Where a piece lies follows from its place in its first
-bin and that bin's place in each later one.
+bins that are nearly full, and hands on the underfull ones as single items; those are packed again in as many partitions
+as they need, round by round, until one partition of bounded size holds them or a round merges nothing.  Where a piece
+lies follows from its place in its first bin and that bin's place in each later one.
 """
 
 from __future__ import annotations
@@ -23,6 +23,8 @@ from . import common
 SEQUENCE, END_ID, TASK_ITEMS = 2048, 0, 200_000
 #: A bin with at most so many free places goes out as it is.
 SLACK = 4
+#: Rounds at most; their numbers are the upper bits of a bin's.
+MAX_ROUNDS = 30
 #: Words whose ids a worker remembers.
 CACHE = 400_000
 _SPECIAL = "<|endoftext|>"
@@ -136,22 +138,29 @@ def _pack(stage: int, size: int, keys: list[str]):
 
 
 def pack(items: DataFrame, keys: list[str], size: int = SEQUENCE, slack: int = SLACK, task_items: int = TASK_ITEMS) -> DataFrame:
-    """``items`` (``keys``, ``length`` of 1 to ``size`` and others) with sequence_id and a gapless offset."""
+    """``items`` (``keys``, ``length`` of 1 to ``size`` and others) with sequence_id and a gapless offset.
+
+    Each round deals what is left to as many tasks as ``task_items`` asks for.  After one that merged nothing, only the bins
+    that are at most half full, one of a task, meet again.
+    """
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in items.select(*keys, "length").schema)
     count = items.count()
     parts = max(1, -(-count // task_items))
     spread = items.select(*keys, "length")
     spread = spread.repartition(parts, *keys) if parts > 1 else spread.coalesce(1)
     first = placed = common.cut(spread.mapInArrow(_pack(0, size, keys), f"{schema}, {_PACKED}"))
-    maps, stage = [], 0
+    maps, stage, before = [], 0, None
     while True:
         open_bins = placed.where(F.col("fill") < size - slack).groupBy("bin").agg(F.max("fill").alias("length")).withColumnRenamed("bin", "item")
         open_bins = common.cut(open_bins)
         left = open_bins.count()
-        if left < 2 or parts == 1:
+        if left == before:
+            open_bins = common.cut(open_bins.where(2 * F.col("length") <= size))
+            left = open_bins.count()
+        if left < 2 or parts == 1 or stage == MAX_ROUNDS:
             break
-        stage += 1
-        parts = max(1, min(parts // 2, -(-left // task_items)))
+        stage, before = stage + 1, left
+        parts = -(-left // task_items)
         spread = open_bins.repartition(parts, "item") if parts > 1 else open_bins.coalesce(1)
         placed = common.cut(spread.mapInArrow(_pack(stage, size, ["item"]), f"item long, length long, {_PACKED}"))
         maps.append(placed.select(F.col("item").alias("bin"), F.col("bin").alias("to"), F.col("offset").alias("by")))

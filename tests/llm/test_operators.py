@@ -240,6 +240,27 @@ def test_packing(spark, task_items):
     assert got.sequence_id.nunique() <= -(-total // 2048) + (1 if task_items > 1000 else 4)
 
 
+def test_packing_keeps_tasks_bounded(spark, tmp_path, monkeypatch):
+    """Pieces of which no two fit one sequence never meet in one task, whatever their number."""
+    real = packing._pack
+
+    def counted(stage, size, keys):
+        def run(batches):
+            import pathlib
+            import uuid
+
+            held = list(batches)
+            pathlib.Path(f"{tmp_path}/{stage}-{uuid.uuid4().hex}").write_text(str(sum(b.num_rows for b in held)))
+            yield from real(stage, size, keys)(iter(held))
+        return run
+
+    monkeypatch.setattr(packing, "_pack", counted)
+    items = spark.createDataFrame([(i, 1025 + i) for i in range(400)], "row long, length long")
+    got = packing.pack(items, ["row"], task_items=20).collect()
+    assert len(got) == len({r.row for r in got}) == len({r.sequence_id for r in got}) == 400
+    assert max(int(p.read_text()) for p in tmp_path.iterdir()) < 80
+
+
 def test_line_dedup(spark):
     rnd = random.Random(1)
     pages = [(i, f"http://Host{i % 3}.org/{i}", "<p>Menu</p><div> home </div>" + "".join(f"<p>{rnd.randrange(40)}</p>" for _ in range(6)) + "<script>x<p>y</p></script>") for i in range(60)]
