@@ -1,8 +1,8 @@
 """Exact deduplication by composable polynomial fingerprints.
 
 A text is cut into chunks of CHUNK bytes.  Each chunk's polynomial hash is computed by itself, and the hash of a
-longer string follows from its parts by length-shifted arithmetic, H(a+b) = H(a) * B**len(b) + H(b), so chunks of a huge
-document can be hashed anywhere and in any order.  Texts that share a fingerprint are then compared chunk by chunk:
+longer string follows from its parts by length-shifted arithmetic, H(a+b) = H(a) * B**len(b) + H(b).  Chunks of a text of
+more than HUGE bytes are dealt out, hashed anywhere and in any order, and combined by their numbers.  Texts that share a fingerprint are then compared chunk by chunk:
 for each fingerprint and chunk number the least and the greatest chunk are kept (an associative reduction, so that no
 task ever gathers a group), and a fingerprint for which they differ is split by the texts themselves.
 """
@@ -21,6 +21,8 @@ from . import common
 
 #: Bytes of a chunk.
 CHUNK = 1 << 16
+#: Bytes of text beyond which chunks are hashed as rows of their own.
+HUGE = 1 << 22
 #: Two prime moduli below 2**31 and a base for each.
 MODULI = ((2_147_483_647, 1_000_003_177), (2_147_483_629, 777_767_777))
 
@@ -72,7 +74,11 @@ def fingerprint(data: bytes) -> int:
     for at in range(0, len(data), CHUNK):
         part = data[at : at + CHUNK]
         total = combine(total, chunk_hash(part), len(part))
-    return (total[0] << 31) | total[1]
+    return _number(total)
+
+
+def _number(hashes: tuple[int, int]) -> int:
+    return (hashes[0] << 31) | hashes[1]
 
 
 _PRINTS = pa.schema([("fp", pa.int64()), ("n_bytes", pa.int64()), ("text_sha256", pa.string())])
@@ -89,6 +95,47 @@ def _prints(key: str):
     return run
 
 
+_TEXT = ["row", "k", "n_bytes", "text_sha256"]
+
+
+def _apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The chunks of huge texts, each with what is known of its text."""
+    for batch in batches:
+        for n in range(batch.num_rows):
+            data = normalise(batch.column("text")[n].as_py())
+            row, k, size, digest = batch.column("row").slice(n, 1), batch.column("k").slice(n, 1), pa.array([len(data)], pa.int64()), pa.array([hashlib.sha256(data).hexdigest()])
+            for at in range(0, len(data), CHUNK):
+                yield pa.RecordBatch.from_arrays([row, k, size, digest, pa.array([at // CHUNK], pa.int32()), pa.array([data[at : at + CHUNK]], pa.binary())], names=[*_TEXT, "chunk_no", "chunk"])
+
+
+def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        chunks = batch.column("chunk").to_pylist()
+        x, y = zip(*map(chunk_hash, chunks), strict=True) if chunks else ((), ())
+        arrays = [*(batch.column(c) for c in (*_TEXT, "chunk_no")), *(pa.array(v, pa.int64()) for v in (map(len, chunks), x, y))]
+        yield pa.RecordBatch.from_arrays(arrays, names=[*_TEXT, "chunk_no", "size", "x", "y"])
+
+
+def _folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        prints = []
+        for parts in batch.column("parts").to_pylist():
+            total = (0, 0)
+            for p in parts:
+                total = combine(total, (p["x"], p["y"]), p["size"])
+            prints.append(_number(total))
+        yield pa.RecordBatch.from_arrays([batch.column("k"), pa.array(prints, pa.int64()), batch.column("n_bytes"), batch.column("text_sha256")], names=["k", *_PRINTS.names])
+
+
+def _huge_prints(huge: DataFrame, kind: str) -> DataFrame:
+    """What _prints gives, for texts (k, text) whose chunks are dealt over all tasks."""
+    own = f"row long, k {kind}, n_bytes long, text_sha256 string, chunk_no int"
+    chunks = huge.withColumn("row", F.monotonically_increasing_id()).mapInArrow(_apart, f"{own}, chunk binary")
+    hashed = chunks.repartition("row", "chunk_no").mapInArrow(_hashed, f"{own}, size long, x long, y long")
+    parts = hashed.groupBy(*_TEXT).agg(F.sort_array(F.collect_list(F.struct("chunk_no", "size", "x", "y"))).alias("parts"))
+    return parts.mapInArrow(_folded, f"k {kind}, fp long, n_bytes long, text_sha256 string")
+
+
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for fp, n, text in zip(batch.column("fp").to_pylist(), batch.column("n_bytes").to_pylist(), batch.column("text").to_pylist(), strict=True):
@@ -111,7 +158,9 @@ def exact_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     common.prepare(docs.sparkSession)
     source = docs.select(F.col(key).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     kind = docs.schema[key].dataType.simpleString()
-    prints = common.cut(source.mapInArrow(_prints("k"), f"k {kind}, fp long, n_bytes long, text_sha256 string"))
+    size = F.octet_length("text")
+    prints = source.where(size <= HUGE).mapInArrow(_prints("k"), f"k {kind}, fp long, n_bytes long, text_sha256 string")
+    prints = common.cut(prints.unionAll(_huge_prints(source.where(size > HUGE), kind)))
     shared = prints.groupBy("fp", "n_bytes").agg(F.count("*").alias("n")).where("n > 1").select("fp", "n_bytes")
     members = common.cut(prints.join(shared, ["fp", "n_bytes"]).select(F.col("k").alias("m"), "fp", "n_bytes"))
     ids = members.groupBy("m", "fp", "n_bytes").agg(F.count("*").alias("_n")).drop("_n")

@@ -213,6 +213,18 @@ def test_fingerprints_combine():
     assert (both[0] << 31) | both[1] == whole
 
 
+def test_chunks_of_huge_texts_are_dealt_out(spark, monkeypatch):
+    """Texts over HUGE give the same results by chunks in many tasks."""
+    rnd = random.Random(4)
+    long = [" ".join(str(rnd.randrange(10_000)) for _ in range(40_000)) for _ in range(2)]
+    docs = [(5, long[0]), (3, long[0].replace(" ", "\n")), (4, long[1]), (6, "short"), (7, "short"), (8, " " * 300_000), (9, " "), (2, long[1] + " ")]
+
+    own = exact_dedup._huge_prints(frame(spark, docs).selectExpr("doc_id AS k", "text"), "bigint").collect()
+    assert {r.k: r.fp for r in own} == {d: exact_dedup.fingerprint(exact_dedup.normalise(t)) for d, t in docs}
+    monkeypatch.setattr(exact_dedup, "HUGE", 100_000)
+    assert result(exact_dedup.exact_dedup(frame(spark, docs)), *EXACT) == brute.exact(docs)
+
+
 @pytest.mark.parametrize("task_items", [200_000, 8])
 def test_packing(spark, task_items):
     docs = [*corpus(1), (100, "<|endoftext|> x<|endoftext|>"), (101, "word " * 5000)]
