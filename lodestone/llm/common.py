@@ -12,6 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: At most so many rows of a side are broadcast; beyond it, a shuffled join is used.
 BROADCAST_ROWS = 1_000_000
@@ -21,12 +22,14 @@ BLOCK_BYTES = 2 << 20
 _MULT = 0x9E3779B97F4A7C15
 _MULT_INV = pow(_MULT, -1, 1 << 64)
 U64 = np.uint64
+#: Stands for a null key: before all others.
+NULL_KEY = -(1 << 63)
 
 
 def prepare(spark: SparkSession) -> SparkSession:
     """Small Arrow batches (long texts stay within a worker's memory) and a checkpoint folder.
 
-    The folder named in ``spark.checkpoint.dir`` is used; only where none is set (tests) a local one is made.
+    The folder named in ``spark.checkpoint.dir`` is used; where none is set, a local session (as in tests) gets one of its own.
     """
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "400")
     context = spark.sparkContext
@@ -34,10 +37,19 @@ def prepare(spark: SparkSession) -> SparkSession:
         context.addPyFile(_package())
         context._lodestone_shipped = True
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lodestone-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="lodestone-"))
     return spark
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder that was written for a while."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def _package() -> str:
     """A zip file of this library, for executors whose path does not hold it."""
     root = Path(__file__).resolve().parents[2]
@@ -160,6 +172,70 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return span_hash(prefix_hash(data), starts, ends)
 
 
+def joined_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The words ``starts:ends`` of ``data`` with one space after each, and where they start and end there."""
+    sizes = ends - starts
+    at = np.cumsum(sizes + 1) - (sizes + 1)
+    out = np.full(int(at[-1] + sizes[-1]) + 1 if len(at) else 0, 0x20, np.uint8)
+    if len(at):
+        shift = np.repeat(at - starts, sizes)
+        inside = np.arange(int(sizes.sum())) + np.repeat(starts - (np.cumsum(sizes) - sizes), sizes)
+        out[inside + shift] = data[inside]
+    return out, at, at + sizes
+
+
+#: Ranges longer than this are compared by the interpreter's own comparison of bytes.
+_LONG_RANGE = 1 << 10
+
+
+def equal_ranges(data: np.ndarray, one: np.ndarray, two: np.ndarray, size: np.ndarray, other: np.ndarray | None = None) -> np.ndarray:
+    """For each pair of ranges of ``size`` bytes, at ``one`` in ``data`` and ``two`` in ``other``, whether their bytes are equal."""
+    other = data if other is None else other
+    out = np.ones(len(one), bool)
+    long = np.flatnonzero(size > _LONG_RANGE)
+    for k in long.tolist():
+        out[k] = data[one[k] : one[k] + size[k]].tobytes() == other[two[k] : two[k] + size[k]].tobytes()
+    live = np.flatnonzero((size > 0) & (size <= _LONG_RANGE))
+    if not len(live):
+        return out
+    a, b = (np.concatenate([x, np.zeros(8, np.uint8)]) for x in (data, other))
+    x, y = (np.ndarray((len(v) - 7,), "<u8", v, 0, (1,)) for v in (a, b))  # the eight bytes from each position
+    at = 0
+    while len(live):
+        left = size[live] - at
+        differ = x[one[live] + at] ^ y[two[live] + at]
+        short = left < 8
+        differ[short] &= (U64(1) << (left[short].astype(U64) << U64(3))) - U64(1)
+        out[live[differ != 0]] = False
+        live = live[(differ == 0) & (left > 8)]
+        at += 8
+    return out
+
+
+def keyed(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """``docs`` as k (the key as it is), d (a long in the order of the keys, null first) and text (null as empty); one row (d, text) for each d;
+    and, unless d is the key itself (or NULL_KEY), the keys (d, k).
+
+    d is one of a text alone: rows that share a key have one d if their texts are equal, and are put in the order of their texts'
+    SHA-256 if not.  Where keys are integers that tell texts apart, d is the key itself.
+    """
+    source = docs.select(F.col(key).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    if isinstance(docs.schema[key].dataType, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
+        same = source.select("k", F.coalesce(F.col("k").cast("long"), F.lit(NULL_KEY)).alias("d"), "text")
+        twice = cut(source.groupBy("k").agg(F.count("*").alias("n")).where("n > 1").select(F.col("k").alias("twice")))
+        if twice.isEmpty():
+            return same, same.select("d", "text"), None
+        shared = source.join(maybe_broadcast(twice), F.col("k").eqNullSafe(F.col("twice"))).groupBy("k").agg(F.min(F.sha2("text", 256)).alias("a"), F.max(F.sha2("text", 256)).alias("z"))
+        if shared.where("a <> z").isEmpty():
+            return same, same.select("d", "text").dropDuplicates(["d"]), None
+    marked = source.withColumn("s", F.sha2("text", 256))
+    order = (F.col("k2").asc_nulls_first(), "s2")
+    numbers = marked.select(F.col("k").alias("k2"), F.col("s").alias("s2")).distinct().repartitionByRange(*order).sortWithinPartitions(*order)
+    numbers = cut(numbers.withColumn("d", F.monotonically_increasing_id()))
+    rows = marked.join(numbers, F.col("k").eqNullSafe(F.col("k2")) & (F.col("s") == F.col("s2"))).select("k", "d", "text")
+    return rows, rows.select("d", "text").dropDuplicates(["d"]), numbers.select("d", F.col("k2").alias("k"))
+
+
 def table(df: DataFrame) -> DataFrame:
     """The rows, written as a Parquet table in the shared checkpoint folder (smaller there than a checkpoint).
 

@@ -6,15 +6,18 @@ is filled; a coordinate keeps its least value.  Coordinates agree with the proba
 concentrate like independent ones.  Sketches agreeing in a whole band are candidates; a pair is linked only once the full
 sets have been compared.
 
-No bucket is ever expanded into all its pairs.  Equal sets are one class from the start.  Round one compares each member
+Texts of the same words are one class from the start, by the SHA-256 of those words.  Round one compares each member
 of a bucket with the bucket's first one; components of the confirmed links follow.  Round two compares, within a bucket, only
-members of different components, and only where sketches do not rule similarity out: parity sketches bound the shingles
-in which sets differ (a similar pair always passes), one-bit sketches help where sets are large.  Those left are confirmed on full sets too, so links between classes that round one left apart are found, and none is dropped.
+members of different components, and only where parity sketches, which bound the shingles in which sets differ, do not
+rule similarity out; a similar pair always passes.  Those left are confirmed on full sets too, so links between classes that
+round one left apart are found, and none is dropped.  Sets are counted and compared on the shingles' bytes; their hashes only propose.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -27,36 +30,94 @@ from . import common
 SHINGLE, PERCENT = 5, 80
 #: Coordinates of a sketch, and coordinates of a band: a pair at 0.8 is missed with a chance of (1 - 0.8**4)**32 < 1e-7.
 SKETCH, ROWS = 128, 4
-#: One-bit sketches may differ in at most so many of SKETCH bits (12.8 are expected at 0.8; the bound is 7 deviations off).
-MAX_BITS = 38
 #: Bits of a parity sketch: each shingle flips one, so sketches differ in no more bits than sets in shingles.
 PARITY = 1024
 #: Rounds of label propagation before the caller is told that something is wrong.
 MAX_ROUNDS = 60
 
+#: Bytes of text whose sets are made at once.
+BLOCK = 1 << 19
+
 U64 = np.uint64
 
 
-def shingle_hashes(data: np.ndarray, at: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct shingle hashes of the items, sorted within each, and where each item's begin.
+@dataclass
+class Sets:
+    """The shingle sets of a block's items: distinct hashes, sorted within each item, and the bytes behind them.
 
-    A-Z count as a-z; words are what white space separates; an item of fewer than ``size`` words has its whole sequence as one.
+    Item i has the hashes ``first[i]:first[i + 1]``, whose shingles are ``data[a:z]``, and ``n[i]`` distinct shingles: more than
+    hashes only where shingles of one item share a hash.
     """
-    low = common.LOWER[data]
-    starts, ends, first = common.word_spans(low, at)
-    words = common.word_hashes(low, starts, ends)
-    prefix = common.prefix_hash(words)
-    n = np.diff(first)
-    count = np.where(n > 0, np.maximum(1, n - size + 1), 0)
-    doc = np.repeat(np.arange(len(n)), count)
-    begin = first[doc] + np.arange(len(doc)) - np.repeat(np.cumsum(count) - count, count)
-    h = common.span_hash(prefix, begin, np.minimum(begin + size, first[doc + 1]))
-    order = np.lexsort((h, doc))
-    h, doc = h[order], doc[order]
-    keep = np.ones(len(h), bool)
-    keep[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
-    h, doc = h[keep], doc[keep]
-    return h, np.searchsorted(doc, np.arange(len(n) + 1))
+
+    data: np.ndarray
+    h: np.ndarray
+    a: np.ndarray
+    z: np.ndarray
+    first: np.ndarray
+    n: np.ndarray
+    words: list[tuple[int, int]]
+    size: int
+
+    @classmethod
+    def of(cls, raw: np.ndarray, at: np.ndarray, size: int) -> Sets:
+        """A-Z count as a-z; words are what white space separates; an item of fewer than ``size`` words has its whole sequence as one."""
+        low = common.LOWER[raw]
+        starts, ends, own = common.word_spans(low, at)
+        data, starts, ends = common.joined_words(low, starts, ends)
+        prefix = common.prefix_hash(common.word_hashes(data, starts, ends))
+        items, n = len(own) - 1, np.diff(own)
+        count = np.where(n > 0, np.maximum(1, n - size + 1), 0)
+        item = np.repeat(np.arange(items), count)
+        begin = own[item] + np.arange(len(item)) - np.repeat(np.cumsum(count) - count, count)
+        end = np.minimum(begin + size, own[item + 1])
+        h = common.span_hash(prefix, begin, end)
+        order = np.lexsort((h, item))
+        h, item, a, z = h[order], item[order], starts[begin[order]], ends[end[order] - 1]
+        new = np.ones(len(h), bool)
+        new[1:] = (h[1:] != h[:-1]) | (item[1:] != item[:-1])
+        again = np.flatnonzero(~new)
+        lead = np.maximum.accumulate(np.where(new, np.arange(len(h)), 0))[again]
+        equal = z[again] - a[again] == z[lead] - a[lead]
+        equal[equal] = common.equal_ranges(data, a[again[equal]], a[lead[equal]], (z - a)[again[equal]])
+        first = np.searchsorted(item[new], np.arange(items + 1))
+        words = [(int(starts[x]), int(ends[y - 1])) if y > x else (0, 0) for x, y in zip(own[:-1].tolist(), own[1:].tolist(), strict=True)]
+        out = cls(data, h[new], a[new], z[new], first, np.diff(first), words, size)
+        for i in set(item[again[~equal]].tolist()):
+            out.n[i] = len(out.shingles(i))
+        return out
+
+    def text(self, i: int) -> bytes:
+        """The item's words, joined by single spaces."""
+        a, z = self.words[i]
+        return self.data[a:z].tobytes()
+
+    def shingles(self, i: int) -> set[bytes]:
+        """The item's set itself."""
+        words = self.text(i).split(b" ")
+        return {b" ".join(words[k : k + self.size]) for k in range(max(1, len(words) - self.size + 1))} if words != [b""] else set()
+
+    def hashes(self, i: int) -> np.ndarray:
+        return self.h[self.first[i] : self.first[i + 1]]
+
+    def similar(self, i: int, other: Sets, j: int, percent: int) -> bool:
+        """Whether item i is similar enough to item j of ``other``, on their shingles' bytes."""
+        x, y = self.hashes(i), other.hashes(j)
+        n, m = int(self.n[i]), int(other.n[j])
+        enough = lambda shared: 100 * shared >= percent * (n + m - shared)
+        if (n, m) != (len(x), len(y)):
+            return enough(len(self.shingles(i) & other.shingles(j)))
+        at = np.searchsorted(y, x)
+        at[at == len(y)] = 0
+        both = np.flatnonzero(y[at] == x) if len(y) else at[:0]
+        if not enough(len(both)):
+            return False
+        both, at = both + self.first[i], at[both] + other.first[j]
+        size = self.z[both] - self.a[both]
+        same = size == other.z[at] - other.a[at]
+        low, from_ = self.words[i][0], other.words[j][0]
+        mine, theirs = self.data[low : self.words[i][1]], other.data[from_ : other.words[j][1]]
+        same[same] = common.equal_ranges(mine, self.a[both[same]] - low, other.a[at[same]] - from_, size[same], theirs)
+        return enough(int(same.sum()))
 
 
 _SALTS = common.mix(np.arange(1, 2 * SKETCH + 1, dtype=U64) * U64(0x9E3779B97F4A7C15))
@@ -82,61 +143,46 @@ def sketch(h: np.ndarray, size: int = SKETCH) -> np.ndarray:
 
 
 def _sets(size: int):
-    """Key, set size, a hash of the set, bands, one-bit and parity sketch of each row; no bands for an empty set."""
+    """Key, set size, digest of the words, bands and parity sketch of each row; no bands and no digest for an empty set."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, ids, bands, bits, odd = [], [], [], [], []
-            for _, _, data, at in common.blocks(batch.column("text")):
-                h, first = shingle_hashes(data, at, size)
-                for a, z in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
-                    n.append(z - a)
-                    if a == z:
-                        ids.append((0, 0)), bands.append([]), bits.append((0, 0)), odd.append([])
+            n, ids, bands, odd = [], [], [], []
+            for _, _, data, at in common.blocks(batch.column("text"), BLOCK):
+                sets = Sets.of(data, at, size)
+                n += sets.n.tolist()
+                for i in range(len(sets.n)):
+                    own = sets.hashes(i)
+                    if not len(own):
+                        ids.append(None), bands.append([]), odd.append([])
                         continue
-                    own = h[a:z]
-                    one, two = common.mix(own).sum(dtype=U64), common.mix(own ^ U64(0xA5A5A5A5A5A5A5A5)).sum(dtype=U64)
-                    ids.append((one.view(np.int64), two.view(np.int64)))
+                    ids.append(hashlib.sha256(sets.text(i)).digest())
                     s = common.mix(sketch(own))
                     prefix = s.reshape(-1, ROWS).copy()
                     for k in range(1, ROWS):
                         prefix[:, 0] = common.mix(prefix[:, 0] * U64(31) + prefix[:, k])
                     bands.append(prefix[:, 0].view(np.int64))
-                    packed = np.packbits((s & U64(1)).astype(np.uint8)).view(np.int64)
-                    bits.append((packed[0], packed[1]))
                     flips = np.bincount((own & U64(PARITY - 1)).astype(np.int64), minlength=PARITY) & 1
                     odd.append(np.packbits(flips.astype(np.uint8)).view(np.int64))
             yield pa.RecordBatch.from_arrays([
-                batch.column("k"), pa.array(n, pa.int64()), *(pa.array([x[j] for x in ids], pa.int64()) for j in (0, 1)),
-                pa.array(bands, pa.list_(pa.int64())), *(pa.array([x[j] for x in bits], pa.int64()) for j in (0, 1)), pa.array(odd, pa.list_(pa.int64())),
-            ], names=["k", "n", "s1", "s2", "bands", "b1", "b2", "odd"])
+                batch.column("k"), pa.array(n, pa.int64()), pa.array(ids, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(odd, pa.list_(pa.int64())),
+            ], names=["k", "n", "id", "bands", "odd"])
     return run
 
 
 def _verify(size: int, percent: int):
-    """Pairs sorted by the side that many share: those whose full sets are similar enough.  Sets are remembered by key for a while."""
+    """Pairs sorted by the side that many share: those whose full sets are similar enough.  A set is remembered while its key lasts."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, mine = None, None
         for batch in batches:
-            sides = []
-            for name in ("text_a", "text_b"):
-                column = batch.column(name)
-                sets: list[np.ndarray] = []
-                if name == "text_b":  # the shared side: rows come sorted by it
-                    for key, text in zip(batch.column("b").to_pylist(), column.to_pylist(), strict=True):
-                        if last is None or key != last:
-                            last, (mine, _) = key, shingle_hashes(*common.buffers(pa.array([text], pa.large_string())), size)
-                        sets.append(mine)
-                else:
-                    for _, _, data, at in common.blocks(column):
-                        h, first = shingle_hashes(data, at, size)
-                        sets += [h[x:y] for x, y in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
-                sides.append(sets)
+            shared = zip(batch.column("b").to_pylist(), batch.column("text_b").to_pylist(), strict=True)
             good = []
-            for x, y in zip(*sides, strict=True):
-                both = np.concatenate([x, y])
-                both.sort()
-                shared = int((both[1:] == both[:-1]).sum())
-                good.append(100 * shared >= percent * (len(x) + len(y) - shared))
+            for _, _, data, at in common.blocks(batch.column("text_a"), BLOCK):
+                sets = Sets.of(data, at, size)
+                for i in range(len(sets.n)):
+                    key, text = next(shared)
+                    if last is None or key != last:
+                        last, mine = key, Sets.of(*common.buffers(pa.array([text], pa.large_string())), size)
+                    good.append(sets.similar(i, mine, 0, percent))
             yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
     return run
 
@@ -173,43 +219,46 @@ def near_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", size: i
 
     Rows are linked if 100 * shared shingles >= percent * all shingles of both; component_id is the smallest key reachable
     over links, and kept marks the row that has it.  Null and empty texts, and those of white space alone, are linked with nothing.
-    Keys should be unique and not null; rows that repeat a key share its component.  Other columns are ignored, and an empty table
-    gives an empty result.
+    A null key comes before all others.  Equal rows with one key are one document (all kept or none), different texts with one key
+    are documents in the order of their SHA-256.  Other columns are ignored, and an empty table gives an empty result.
     """
     common.prepare(docs.sparkSession)
     kind = docs.schema[key].dataType.simpleString()
-    source = docs.select(F.col(key).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    sets = common.cut(source.mapInArrow(_sets(size), f"k {kind}, n long, s1 long, s2 long, bands array<long>, b1 long, b2 long, odd array<long>"))
+    rows, plain, names = common.keyed(docs, key, text)
+    source = plain.select(F.col("d").alias("k"), "text")
+    sets = common.cut(source.mapInArrow(_sets(size), "k long, n long, id binary, bands array<long>, odd array<long>"))
     full = sets.where("n > 0")
-    # classes of equal sets; their first key stands for all
-    classes = full.groupBy("n", "s1", "s2").agg(F.min("k").alias("v"))
-    heads = common.cut(full.join(classes, ["n", "s1", "s2"]).where("k = v").dropDuplicates(["v"]).select("v", "n", "bands", "b1", "b2", "odd"))
-    rows = heads.select("v", "n", "b1", "b2", F.posexplode("bands").alias("band", "h"))
-    buckets = rows.groupBy("band", "h").agg(F.min("v").alias("lead"), F.count("*").alias("m")).where("m > 1")
-    members = common.cut(rows.join(buckets, ["band", "h"]).select("v", "n", "b1", "b2", "band", "h", "lead"))
+    # classes of the same words; their first key stands for all
+    classes = full.groupBy("id").agg(F.min("k").alias("v"))
+    heads = common.cut(full.join(classes, "id").where("k = v").select("v", "n", "bands", "odd"))
+    banded = heads.select("v", "n", F.posexplode("bands").alias("band", "h"))
+    buckets = banded.groupBy("band", "h").agg(F.min("v").alias("lead"), F.count("*").alias("m")).where("m > 1")
+    members = common.cut(banded.join(buckets, ["band", "h"]).select("v", "n", "band", "h", "lead"))
     stars = members.where("v <> lead").groupBy(F.col("v").alias("a"), F.col("lead").alias("b")).agg(F.min("n").alias("n"))
     sizes = heads.select(F.col("v").alias("b"), F.col("n").alias("m"))
     stars = stars.join(sizes, "b").where(100 * F.least("n", "m") >= percent * F.greatest("n", "m")).select("a", "b")
     near = common.cut(members.select(F.col("v").alias("k")).distinct())
-    wanted = source.join(common.maybe_broadcast(near), "k", "left_semi").dropDuplicates(["k"])
-    links = common.cut(confirmed(stars, wanted, size, percent, kind))
+    wanted = source.join(common.maybe_broadcast(near), "k", "left_semi")
+    links = common.cut(confirmed(stars, wanted, size, percent, "long"))
     labels = components(near.select(F.col("k").alias("v"), F.col("k").alias("c")), links)
     # round two: between components, within buckets
     held = members.join(labels, "v")
     split = held.groupBy("band", "h").agg(F.min("c").alias("x"), F.max("c").alias("z")).where("x <> z").select("band", "h")
     left = common.table(held.join(split, ["band", "h"], "left_semi").join(heads.select("v", "odd"), "v"))
-    one = left.select("band", "h", *(F.col(c).alias(f"{c}_a") for c in ("v", "n", "b1", "b2", "odd", "c")))
-    two = left.select("band", "h", *(F.col(c).alias(f"{c}_b") for c in ("v", "n", "b1", "b2", "odd", "c")))
+    one = left.select("band", "h", *(F.col(c).alias(f"{c}_a") for c in ("v", "n", "odd", "c")))
+    two = left.select("band", "h", *(F.col(c).alias(f"{c}_b") for c in ("v", "n", "odd", "c")))
     # similar sets differ in at most (100 - percent) hundredths of their union, which has at most 100 / percent times the smaller
     flips = " + ".join(f"bit_count(odd_a[{k}] ^ odd_b[{k}])" for k in range(PARITY // 64))
-    apart = F.expr(
-        f"c_a < c_b AND 100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b) AND bit_count(b1_a ^ b1_b) + bit_count(b2_a ^ b2_b) <= {MAX_BITS}"
-        f" AND {percent} * ({flips}) <= {100 - percent} * least(n_a, n_b)"
-    )
+    apart = F.expr(f"c_a < c_b AND 100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b) AND {percent} * ({flips}) <= {100 - percent} * least(n_a, n_b)")
     pairs = one.join(two, ["band", "h"]).where(apart).select(F.col("v_a").alias("a"), F.col("v_b").alias("b")).distinct()
-    more = common.cut(confirmed(common.cut(pairs), wanted, size, percent, kind))
+    more = common.cut(confirmed(common.cut(pairs), wanted, size, percent, "long"))
     if not more.isEmpty():
         labels = components(labels, links.union(more))
-    placed = sets.join(classes, ["n", "s1", "s2"], "left").join(labels, "v", "left")
-    component = F.when(F.col("n") == 0, F.col("k")).otherwise(F.coalesce("c", "v"))
-    return placed.select(F.col("k").alias(key), F.col("n").alias("n_shingles"), component.alias("component_id"), (F.col("k") == component).alias("kept"))
+    placed = sets.join(classes, "id", "left").join(labels, "v", "left")
+    found = placed.select(F.col("k").alias("d"), "n", F.when(F.col("n") == 0, F.col("k")).otherwise(F.coalesce("c", "v")).alias("c"))
+    out = rows.select("k", "d").join(found, "d")
+    if names is None:
+        smallest = F.when(F.col("c") != common.NULL_KEY, F.col("c")).cast(kind)
+    else:
+        out, smallest = out.join(names.select(F.col("d").alias("c"), F.col("k").alias("own")).distinct(), "c"), F.col("own")
+    return out.select(F.col("k").alias(key), F.col("n").alias("n_shingles"), smallest.alias("component_id"), (F.col("d") == F.col("c")).alias("kept"))

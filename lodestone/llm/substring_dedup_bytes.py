@@ -131,8 +131,40 @@ def adjacent_prefixes(suffixes: np.ndarray, keys: np.ndarray, limit: int) -> np.
     return np.minimum(out, limit)
 
 
-def later_strings(parts: list[bytes], d: np.ndarray, a: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Spans of the fragments' strings of LENGTH bytes that start earlier (by document, then place) in another place too."""
+#: Where strings of LENGTH bytes that hold the anchor may lie to its left, in steps, and what they then share to its right at least.
+_SHARED = [(left, max(0, LENGTH - UNITS.gram - left - 17)) for left in range(0, LENGTH - UNITS.gram, 18)]
+
+
+def possible(text: np.ndarray, begin: np.ndarray, sizes: np.ndarray, group: np.ndarray, left: np.ndarray) -> np.ndarray:
+    """Which fragments may share a string of LENGTH bytes around the anchor, at ``left`` (-1: anywhere), with others of their group.
+
+    Such a string reaches 0 to 17, 18 to 35, ... bytes to the anchor's left, and in each case holds a known range around it; only
+    fragments that have none of these ranges' hashes in common with others are left out.
+    """
+    out = left < 0
+    prefix, anchor = common.prefix_hash(text), begin + left
+    for to_left, to_right in _SHARED:
+        a, z = anchor - to_left, anchor + UNITS.gram + to_right
+        inside = np.flatnonzero((left >= to_left) & (z <= begin + sizes))
+        h = common.span_hash(prefix, a[inside], z[inside]) ^ common.mix(group[inside].astype(U64))
+        order = np.argsort(h, kind="stable")
+        same = h[order][1:] == h[order][:-1]
+        out[inside[order[1:][same]]] = True
+        out[inside[order[:-1][same]]] = True
+    return out
+
+
+def later_strings(parts: list[bytes], d: np.ndarray, a: np.ndarray, group: np.ndarray | None = None, left: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Spans of the fragments' strings of LENGTH bytes that start earlier (by document, then place) in another place too.
+
+    ``group`` numbers the fragments of one anchor, which lies at ``left``; without them any two fragments may share any string.
+    """
+    if left is not None:
+        sizes = np.array([len(p) for p in parts])
+        kept = np.flatnonzero(possible(np.frombuffer(b"".join(parts), np.uint8), np.cumsum(sizes) - sizes, sizes, group, left))
+        parts, d, a = [parts[k] for k in kept.tolist()], d[kept], a[kept]
+    if len(parts) < 1:
+        return d[:0], a[:0], a[:0]
     sizes = np.array([len(p) for p in parts])
     text = np.frombuffer(b"\0".join([p.translate(_SHIFTED) for p in parts]) + b"\0", np.uint8)
     begin = np.cumsum(sizes + 1) - (sizes + 1)
@@ -183,21 +215,19 @@ def find_repeats(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     copies = repeats.copies_of(docs)
     heads = docs.join(common.maybe_broadcast(copies), "d", "left_anti")
     marked = common.table(repeats.mark(repeats.anchors(heads, UNITS).withColumn("old", F.lit(False)), UNITS))
-    whole = marked.where("h IS NULL").select("d", "a", "z")
-    compare = marked.where("h IS NOT NULL")
-    spans = repeats.compared(repeats.fragments(heads, compare, UNITS), later_strings)
-    return copies, whole.where(F.col("z") - F.col("a") >= LENGTH).unionAll(spans)
+    return copies, repeats.settled(heads, marked, UNITS, later_strings)[0]
 
 
 def suffix_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per row of ``docs``: key, n_bytes, n_removed, n_spans, kept_sha256.
 
     Each byte covered by a LENGTH-byte string that also starts earlier (in a document with a smaller key, or earlier in the
-    same one) goes.  Null texts count as empty; texts of fewer than LENGTH bytes are left alone.  Keys are integers; null
-    ones sort first, and equal rows with one key are judged as one.  Other columns are ignored, an empty table gives an empty result.
+    same one) goes.  Null texts count as empty; texts of fewer than LENGTH bytes are left alone.  Null keys
+    sort first; equal rows with one key are judged as one, and different texts with one key as documents in the order of their
+    SHA-256.  Other columns are ignored, an empty table gives an empty result.
     """
     common.prepare(docs.sparkSession)
-    source = docs.select(F.col(key).alias("k"), repeats.document_key(key).alias("d"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    copies, spans = find_repeats(source.select("d", "text"))
+    source, plain, _ = common.keyed(docs, key, text)
+    copies, spans = find_repeats(plain)
     schema = f"k {docs.schema[key].dataType.simpleString()}, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
     return repeats.apply_spans(source, copies, spans, _finish, schema).withColumnRenamed("k", key)

@@ -1,9 +1,10 @@
 """Substring deduplication of word windows over a log-structured fingerprint index.
 
 The index holds sorted, immutable runs of fingerprints of historical windows: an anchor's hash, its context's hash, and the
-first place of that context (see ``repeats``).  A batch of new documents is merge-joined with each run (runs are bucketed and
-sorted by the anchor, so only the batch moves); windows that fingerprints call repeats are verified word by word on the
-texts; then the batch's own fingerprints become a new run, and runs are compacted into one when there are too many.
+first place of that context (see ``repeats``).  A batch of new documents is merge-joined with each run, which is bucketed and
+sorted by the anchor, so only the batch moves to it; the fingerprints that meet are then dealt out with the batch's own.  Windows
+that fingerprints call repeats are verified on the words of both texts; then the batch's own fingerprints become a new
+run, and runs are compacted into one when there are too many.
 """
 
 from __future__ import annotations
@@ -23,10 +24,10 @@ from . import common, repeats
 LENGTH = 50
 UNITS = repeats.Units(length=LENGTH, gram=25, words=True, strict=True, hot=8_000)
 #: Batches that a whole table is taken in, and runs that the index keeps before it compacts them.
-BATCHES, MAX_RUNS = 2, 4
+BATCHES, MAX_RUNS = 3, 1
 
 
-def later_windows(parts: list[bytes], d: np.ndarray, a: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def later_windows(parts: list[bytes], d: np.ndarray, a: np.ndarray, group: np.ndarray | None = None, left: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Spans (in words) of the fragments' windows that a document with a smaller key holds too, verified on the words."""
     text = b"\n".join(parts) + b"\n"
     begin = np.cumsum([0, *(len(p) + 1 for p in parts)])
@@ -76,14 +77,16 @@ class FingerprintIndex:
     def __init__(self, spark: SparkSession, units: repeats.Units = UNITS, max_runs: int = MAX_RUNS) -> None:
         self.spark, self.units, self.max_runs = common.prepare(spark), units, max_runs
         self.runs: list[str] = []
+        self.collided: DataFrame | None = None  # anchors that a run cannot tell apart
+        self.folder = spark.sparkContext._jsc.sc().getCheckpointDir().get()
         self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def _write(self, rows: DataFrame) -> str:
         """A new run: the first place of each anchor and context, bucketed and sorted by anchor."""
         name = f"lodestone_run_{uuid.uuid4().hex}"
         firsts = rows.groupBy("h", "c").agg(F.min(F.struct("d", "q")).alias("at")).select("h", "c", "at.d", "at.q")
-        path = f"{self.spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{name}"
-        firsts.repartition(self.buckets, "h").write.bucketBy(self.buckets, "h").sortBy("h", "c").option("path", path).saveAsTable(name)
+        dealt = firsts.repartition(self.buckets, "h").write.bucketBy(self.buckets, "h").sortBy("h", "c")
+        dealt.option("path", f"{self.folder}/{name}").saveAsTable(name)
         return name
 
     def add(self, batch: DataFrame, history: DataFrame) -> DataFrame:
@@ -95,13 +98,10 @@ class FingerprintIndex:
         rows = own.withColumn("old", F.lit(False))
         for run in self.runs:
             met = self.spark.table(run).join(own.select("h").distinct(), "h", "left_semi")
-            rows = rows.unionByName(met.withColumn("old", F.lit(True)))
+            rows = rows.unionByName(met.withColumn("more", F.lit(0).cast("long")).withColumn("old", F.lit(True)))
         marked = common.table(repeats.mark(rows, self.units))
-        whole = marked.where("h IS NULL").where(F.col("z") - F.col("a") >= self.units.length).select("d", "a", "z")
-        compare = marked.where("h IS NOT NULL")
-        verified = repeats.compared(repeats.fragments(history, compare, self.units), later_windows)
-        spans = common.table(whole.unionAll(verified))
-        self.runs.append(self._write(own))
+        spans, self.collided = repeats.settled(history, marked, self.units, later_windows, self.collided)
+        self.runs.append(self._write(own.where("h IS NOT NULL")))
         if len(self.runs) > self.max_runs:
             self.compact()
         return spans
@@ -113,11 +113,16 @@ class FingerprintIndex:
             rows = rows.unionByName(self.spark.table(run))
         self.runs = [self._write(rows)]
         for run in old:
-            self.spark.sql(f"DROP TABLE {run}")
+            self._drop(run)
+
+    def _drop(self, run: str) -> None:
+        self.spark.sql(f"DROP TABLE {run}")
+        common.remove(self.spark, f"{self.folder}/{run}")
 
     def close(self) -> None:
+        """Lets go of all runs and their files."""
         for run in self.runs:
-            self.spark.sql(f"DROP TABLE {run}")
+            self._drop(run)
         self.runs = []
 
 
@@ -144,12 +149,12 @@ def window_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", batch
 
     Each word covered by a window of LENGTH words that also starts in a document with a smaller key goes.  Documents go
     through a FingerprintIndex in ``batches`` ranges of their keys.  Words are what white space separates, unchanged; null texts
-    have none, and texts of fewer than LENGTH words are left alone.  Keys are integers; null ones sort first, equal rows
-    with one key are judged as one.  Other columns are ignored, an empty table gives an empty result.
+    have none, and texts of fewer than LENGTH words are left alone.  Null keys sort first; equal rows with one key are judged as
+    one, and different texts with one key as documents in the order of their SHA-256.  Other columns are ignored, an empty
+    table gives an empty result.
     """
     spark = common.prepare(docs.sparkSession)
-    source = docs.select(F.col(key).alias("k"), repeats.document_key(key).alias("d"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    plain = source.select("d", "text")
+    source, plain, _ = common.keyed(docs, key, text)
     copies = repeats.copies_of(plain)
     heads = plain.join(common.maybe_broadcast(copies), "d", "left_anti")
     cuts = plain.select(F.percentile_approx("d", [k / batches for k in range(1, batches)], 10_000)).first()[0] if batches > 1 else []

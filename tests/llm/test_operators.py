@@ -6,11 +6,12 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from lodestone.llm import chat, decontaminate, exact_dedup, line_dedup, near_dedup, packing, pii, queries, repeats, substring_dedup_bytes, substring_dedup_words, toxicity
+from lodestone.llm import chat, common, decontaminate, exact_dedup, line_dedup, near_dedup, packing, pii, queries, repeats, substring_dedup_bytes, substring_dedup_words, toxicity
 
 from . import brute
 
@@ -99,6 +100,53 @@ def test_later_strings_with_nul():
     assert got == [list(want[k][1:3]) for k in range(len(parts))]
 
 
+#: Words with equal hashes under the polynomial that proposes candidates.
+TWINS = "mmmmmmmmmmmmmmmm", "goreqpdjkrjitikl"
+
+
+def twin_texts(at):
+    """Two texts of 60 words that differ only where the first has one of the twins and the second the other."""
+    words = [f"v{k}" for k in range(60)]
+    return [" ".join(twin if k in at else w for k, w in enumerate(words)) for twin in TWINS]
+
+
+def test_equal_hashes_are_not_taken_for_repeats(spark):
+    """Contexts, windows and sets whose hashes agree, but not their bytes; true repeats among them are still found."""
+    one, two = twin_texts({30})
+    assert len(set(common.word_hashes(np.frombuffer("".join(TWINS).encode(), np.uint8), np.array([0, 16]), np.array([16, 32])))) == 1
+    docs = [(1, one), (2, two), (3, "x " + two + " y"), (4, "z " + one)]
+    assert result(substring_dedup_words.window_dedup(frame(spark, docs)), *WORDS) == brute.windows(docs)
+    rnd = random.Random(1)
+    for _ in range(5):
+        start = "".join(rnd.choice("abcdefgh ") for _ in range(84))
+        docs = [(k, start + twin) for k, twin in enumerate(TWINS)] + [(2, "b" + start + TWINS[1] + "c")]
+        assert result(substring_dedup_bytes.suffix_dedup(frame(spark, docs)), *BYTES) == brute.suffix(docs)
+    docs = list(enumerate(twin_texts(set(range(0, 60, 4)))))
+    assert result(near_dedup.near_dedup(frame(spark, docs), size=4), *NEAR) == brute.near(docs)
+
+
+def test_equal_ranges():
+    rnd = random.Random(3)
+    data = bytes(rnd.choice(b"ab") for _ in range(3000))
+    a = [rnd.randrange(1500) for _ in range(4000)]
+    b = [x if rnd.random() < 0.2 else rnd.randrange(1500) for x in a]
+    n = [rnd.choice([0, 1, 3, 7, 8, 9, 16, 1200, 1500]) for _ in a]
+    got = common.equal_ranges(np.frombuffer(data, np.uint8), np.array(a), np.array(b), np.array(n))
+    assert got.tolist() == [data[x : x + k] == data[y : y + k] for x, y, k in zip(a, b, n, strict=True)]
+
+
+def test_repeats_of_rows_with_one_key(spark):
+    """Equal rows are judged as one; different texts of one key as documents of their own; keys need not be numbers."""
+    rnd = random.Random(6)
+    body = [" ".join(f"u{rnd.randrange(10**6)}" for _ in range(80)) for _ in range(3)]
+    rows = [("a", body[0]), ("a", body[0]), ("b", body[1]), ("b", body[2]), (None, body[1]), ("c", "x " + body[0])]
+    order = sorted(set(rows), key=lambda r: (r[0] is not None, r[0] or "", brute.sha(r[1])))
+    for operator, columns, plain in ((substring_dedup_bytes.suffix_dedup, BYTES, brute.suffix), (substring_dedup_words.window_dedup, WORDS, brute.windows)):
+        want = plain([(k, t) for k, (_, t) in enumerate(order)])
+        got = sorted(((r.doc_id is not None, r.doc_id or "", *(r[c] for c in columns)) for r in operator(spark.createDataFrame(rows, "doc_id string, text string")).collect()))
+        assert got == sorted((r[0] is not None, r[0] or "", *want[order.index(r)]) for r in rows)
+
+
 def test_suffix_array():
     rnd = random.Random(5)
     for letters in (b"ab", b"abc", bytes(range(1, 256))):
@@ -416,8 +464,8 @@ def test_repeats_marks_across_batches():
     rnd = random.Random(1)
     for strict in (False, True):
         units = dataclasses.replace(substring_dedup_bytes.UNITS, strict=strict)
-        rows = sorted((rnd.randrange(4), rnd.randrange(4), rnd.randrange(6), (rnd.randrange(100, 500) << 16) | (9 << 8) | 100, rnd.random() < 0.3) for _ in range(200))
-        batch = lambda part: pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*part, strict=True)], names=["h", "c", "d", "q", "old"])
+        rows = sorted((rnd.randrange(4), rnd.randrange(4), rnd.randrange(6), (rnd.randrange(100, 500) << 16) | (9 << 8) | 100, rnd.randrange(2), rnd.random() < 0.3) for _ in range(200))
+        batch = lambda part: pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*part, strict=True)], names=["h", "c", "d", "q", "more", "old"])
         marks = lambda size: {tuple(r.values()) for b in repeats._mark(units)(iter([batch(rows[i : i + size]) for i in range(0, len(rows), size)])) for r in b.to_pylist()}
         assert marks(200) == marks(7) == marks(1)
 
