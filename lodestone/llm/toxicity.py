@@ -1,7 +1,7 @@
 """Toxicity by a weighted lexicon, matched by Aho-Corasick over folded text.
 
-Texts are folded first: lower case, look-alike letters of other scripts and digits inside words as the Latin letters
-they stand for, marks that hide letters dropped.  The lexicon (whole words and word beginnings, each with a log-odds
+Texts are folded first: lower case, look-alike letters of other scripts and digits inside words as the Latin letters they stand
+for, marks that hide letters dropped, letters that signs pull apart joined; words with accents are also tried without them.  The lexicon (whole words and word beginnings, each with a log-odds
 weight) is learned from labelled rows; matches inside an exception phrase do not count.  A logistic function of the
 matched weight, also normalised by length, gives the score.
 """
@@ -9,6 +9,8 @@ matched weight, also normalised by length, gives the score.
 from __future__ import annotations
 
 import math
+import re
+import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -37,6 +39,7 @@ HOMOGLYPHS = {
     "а": "a", "в": "b", "с": "c", "ԁ": "d", "е": "e", "ё": "e", "һ": "h", "і": "i", "ї": "i", "ј": "j", "к": "k", "м": "m", "н": "h", "о": "o", "р": "p", "ѕ": "s", "т": "t", "у": "y", "х": "x",
     "α": "a", "β": "b", "ε": "e", "η": "n", "ι": "i", "κ": "k", "ν": "v", "ο": "o", "ρ": "p", "τ": "t", "υ": "u", "χ": "x", "ı": "i", "ɑ": "a", "ɡ": "g", "ⅼ": "i", "l": "i", "|": "i",
 }
+STROKES = {"ø": "o", "đ": "d", "ħ": "h", "ł": "i", "ŧ": "t"}
 DIGITS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s"}
 HIDDEN = "­​‌‍⁠﻿"
 #: Phrases whose words are harmless in them.
@@ -56,7 +59,7 @@ class _Fold(dict):
             c = c.lower()
             c = HOMOGLYPHS.get(c, c)
             c = DIGITS.get(c, c)
-            out = "".join(x if x.isalnum() else " " for x in c)
+            out = "".join(x if x.isalnum() or unicodedata.combining(x) else " " for x in c)
         self[code] = out
         return out
 
@@ -64,9 +67,23 @@ class _Fold(dict):
 _FOLD = _Fold()
 
 
+#: Four or more single letters with the same sign between each two: a word that was pulled apart.
+_APART = re.compile(r"(?<!\w)\w([.\-_*·])\w(?:\1\w){2,}(?!\w)")
+
+
 def fold(text: str | None) -> str:
-    """The folded text: words with one space before and after each."""
-    return " " + " ".join((text or "").translate(_FOLD).split()) + " "
+    """The folded text: words with one space before and after each; letters that signs pull apart (i.d.i.o.t) are one word."""
+    joined = _APART.sub(lambda m: m[0].replace(m[1], ""), text or "")
+    return " " + " ".join(joined.translate(_FOLD).split()) + " "
+
+
+_MARKED = re.compile(r"\S*[^\x00-\x7f\s]\S*")
+
+
+def bare(word: str) -> str:
+    """A folded word without accents and strokes, folded once more."""
+    letters = (STROKES.get(c, c) for c in unicodedata.normalize("NFKD", word) if not unicodedata.combining(c))
+    return fold("".join(letters)).strip()
 
 
 @dataclass
@@ -105,13 +122,17 @@ class Model:
                 hits.append((end - length + 1, weight))
         if spared:
             hits = [(at, w) for at, w in hits if not any(a <= at <= z - 1 for a, z in spared)]
-        total = sum(w for _, w in hits)
+        # words that only match without their accents; accents that a language has of its own do not hide a match
+        total = sum(w for _, w in hits) + sum(self._weight(bare(w)) for w in set(_MARKED.findall(words)) if not self._weight(w))
         return math.log1p(total), math.log1p(100 * total / words.count(" "))
 
+    def _weight(self, word: str) -> float:
+        return sum(weight for _, (weight, _) in self.automaton().iter(f" {word} ") if weight is not None)
+
     def score(self, text: str | None) -> float:
         a, b, c = self.coefficients
         x, y = self.features(text)
-        return 1 / (1 + math.exp(-max(-30.0, min(30.0, a + b * x + c * y))))
+        return 0.0 if a == -math.inf else 1 / (1 + math.exp(-max(-30.0, min(30.0, a + b * x + c * y))))
 
 
 def terms_of(text: str | None) -> set[str]:
@@ -167,7 +188,9 @@ def fit(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> tuple[float, float
 def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
     """A model from at most ``sample_rows`` rows of ``labels`` (doc_id, toxic) and their texts in ``docs`` (doc_id, text).
 
-    With no toxic or no clean rows, the model has no terms and gives every text the share of toxic rows as its score.
+    Null ids and null labels are left out; of rows that repeat an id the greatest label counts, for each of that id's texts.  With no toxic
+    or no clean rows there is nothing to tell texts apart by: the model has no terms and scores every text 0 (no text is called toxic
+    without evidence), also where ``labels`` or ``docs`` are empty.
     """
     common.prepare(docs.sparkSession)
     ids = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
@@ -176,8 +199,7 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
     sizes = {int(r.toxic): r.n for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     n_toxic, n_clean = sizes.get(1, 0), sizes.get(0, 0)
     if not n_toxic or not n_clean:
-        p = (n_toxic + 0.5) / (n_toxic + n_clean + 1)
-        return Model({}, coefficients=(math.log(p / (1 - p)), 0.0, 0.0))
+        return Model({}, coefficients=(-math.inf, 0.0, 0.0))
     counted = lambda part, known: part.select("text").mapInArrow(_count(known), "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
     top = counted(rows.where("toxic = 1"), None).where(F.col("n") >= max(3, MIN_SHARE * n_toxic)).orderBy(F.desc("n"), "term").limit(CANDIDATES)
     toxic = {r.term: r.n for r in top.collect()}
