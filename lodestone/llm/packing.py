@@ -8,6 +8,8 @@ lies follows from its place in its first bin and that bin's place in each later
 
 from __future__ import annotations
 
+import re
+import unicodedata
 import zlib
 from collections.abc import Callable, Iterator
 from functools import reduce
@@ -27,6 +29,19 @@ SLACK = 4
 MAX_ROUNDS = 30
 #: Words whose ids a worker remembers.
 CACHE = 400_000
+
+
+def _rare() -> re.Pattern:
+    """Characters that libraries of different Unicode versions may class differently.
+
+    Those beyond the basic plane, and those that Unicode 3.2, which all know, did not have or classed otherwise.
+    """
+    old, new = unicodedata.ucd_3_2_0.category, unicodedata.category
+    codes = [n for n in range(0x80, 0x10000) if not 0xD800 <= n < 0xE000 and old(chr(n))[0] != new(chr(n))[0] or old(chr(n)) == "Cn"]
+    first = [n for k, n in enumerate(codes) if not k or codes[k - 1] != n - 1]
+    last = [n for k, n in enumerate(codes) if k == len(codes) - 1 or codes[k + 1] != n + 1]
+    spans = "".join(f"\\u{a:04x}-\\u{z:04x}" for a, z in zip(first, last, strict=True))
+    return re.compile(f"[{spans}\\U00010000-\\U0010ffff]")
 _SPECIAL = "<|endoftext|>"
 
 _ENCODERS: dict[str, Callable[[str], np.ndarray]] = {}
@@ -35,19 +50,25 @@ _ENCODERS: dict[str, Callable[[str], np.ndarray]] = {}
 def encoder(path: str, ranks: str, pattern: str) -> Callable[[str], np.ndarray]:
     """Text to ids of the byte-level BPE in ``path`` (whose vocabulary, as ranks, is in ``ranks``).
 
-    BPE works word by word, so a word's ids are remembered; the special token's string stands for its id, as in ``path``.
+    BPE works word by word, so a word's ids are remembered; the special token's string stands for its id, as in ``path``.  A text
+    with characters that may be classed otherwise there (see ``_rare``) goes through the tokenizer of ``path`` as a whole.
     """
     if path not in _ENCODERS:
         import base64
 
         import regex
         import tiktoken
+        from tokenizers import Tokenizer
 
         merges = {base64.b64decode(a): int(b) for a, b in (line.split() for line in open(ranks, "rb").read().splitlines())}  # noqa: SIM115
         encode = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=merges, special_tokens={}).encode_ordinary
-        words, known = regex.compile(pattern), {}
+        words, known, rare, whole = regex.compile(pattern), {}, _rare(), []
 
         def ids(text: str) -> np.ndarray:
+            if rare.search(text):
+                if not whole:
+                    whole.append(Tokenizer.from_file(path))
+                return np.array(whole[0].encode(text, add_special_tokens=False).ids, np.uint32)
             out: list[int] = []
             for k, part in enumerate(text.split(_SPECIAL)):
                 if k:
