@@ -14,8 +14,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: At most so many rows of a side are broadcast; beyond it, a shuffled join is used.
-BROADCAST_ROWS = 1_000_000
+#: At most so many rows of a side, and bytes of it, are broadcast; beyond either, a shuffled join is used.
+BROADCAST_ROWS, BROADCAST_BYTES = 1_000_000, 32 << 20
+#: Bytes that a value of fixed size and the rest of a row take at most in a broadcast table.
+_ROW_BYTES = 32
 #: Bytes of text handled at once by the numpy kernels; a longer document is handled alone.
 BLOCK_BYTES = 2 << 20
 
@@ -67,8 +69,14 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def maybe_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` marked for broadcast if a count proves it small; ``df`` as it is otherwise.  ``df`` should be a checkpoint: it is counted here."""
-    return F.broadcast(df) if df.count() <= rows else df
+    """``df`` marked for broadcast if its rows and bytes, counted here, are few; ``df`` as it is otherwise.  ``df`` should be a checkpoint."""
+    sizes = [F.octet_length(f.name) for f in df.schema if isinstance(f.dataType, (T.StringType, T.BinaryType))]
+    fixed = all(isinstance(f.dataType, (T.StringType, T.BinaryType, T.NumericType, T.BooleanType, T.DateType, T.TimestampType)) for f in df.schema)
+    if not fixed:
+        return df
+    width = sum((F.coalesce(s, F.lit(0)) for s in sizes), F.lit(8 * len(df.columns) + _ROW_BYTES))
+    got = df.agg(F.count("*").alias("n"), F.coalesce(F.sum(width.cast("long")), F.lit(0)).alias("b")).first()
+    return F.broadcast(df) if got.n <= rows and got.b <= BROADCAST_BYTES else df
 
 
 def texts(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

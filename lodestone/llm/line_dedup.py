@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: Lines on more than this share of a host's pages go, if the host has at least MIN_PAGES pages.
-RATIO, MIN_PAGES = 0.2, 5
+#: Lines on more than this share of a host's pages go, unless they are on one page only.
+RATIO = 0.2
 _HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)"
 # What has no text, and which tags end a line.
 _UNSEEN = r"(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<!--.*?-->"
@@ -37,20 +37,22 @@ def lines_of(text: Column, html: bool) -> Column:
     return F.filter(F.transform(F.split(text, "\n"), lambda x: F.regexp_replace(x, _EDGE, "")), lambda x: x != "")
 
 
-def line_dedup(pages: DataFrame, key: str = "page_id", url: str = "url", text: str = "html", html: bool = True, ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
+def line_dedup(pages: DataFrame, key: str = "page_id", url: str = "url", text: str = "html", html: bool = True, ratio: float = RATIO) -> DataFrame:
     """One row per page: key, host, n_lines, n_dropped, text (the kept lines, joined by newlines).
 
     Lines are what newlines (and in HTML block tags) separate, without white space around them; blank ones do not count.
     Null texts have no lines, null URLs the host ''.  Every page counts once towards its host's total and once
-    for each line it holds, however often; repeated rows are pages of their own.  Other columns are ignored.
+    for each line it holds, however often; repeated rows and rows with null keys are pages of their own.  A line that only one of a
+    host's pages holds stays, whatever its share.  Other columns are ignored, and an empty table gives an empty result.
     """
     rows = pages.select(F.col(key), host_of(F.col(url)).alias("host"), lines_of(F.col(text), html).alias("lines"))
-    totals = rows.groupBy("host").agg(F.count("*").alias("pages")).where(F.col("pages") >= min_pages)
+    totals = rows.groupBy("host").agg(F.count("*").alias("pages"))
     counts = rows.select("host", F.explode(F.array_distinct("lines")).alias("line")).groupBy("host", "line").agg(F.count("*").alias("n"))
     frequent = counts.where(F.col("n") > 1).join(totals, "host").where(F.col("n") > F.lit(ratio) * F.col("pages"))
     frequent = common.cut(frequent.select("host", "line"))
     lists = frequent.groupBy("host").agg(F.collect_set("line").alias("drop"))
-    if frequent.count() <= common.BROADCAST_ROWS // 10:
+    size = frequent.agg(F.coalesce(F.sum(F.octet_length("host") + F.octet_length("line") + 32), F.lit(0)).alias("n")).first().n
+    if size <= common.BROADCAST_BYTES:
         lists = F.broadcast(lists)
     marked = rows.join(lists, "host", "left").withColumn("drop", F.coalesce("drop", F.array().cast("array<string>")))
     kept = F.filter("lines", lambda x: ~F.array_contains(F.col("drop"), x))

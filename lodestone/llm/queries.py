@@ -7,8 +7,6 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-import corpus_pipeline
-
 from . import chat, decontaminate, exact_dedup, line_dedup, near_dedup, packing, pii, substring_dedup_bytes, substring_dedup_words, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -45,7 +43,7 @@ WITH x AS (
            '<[^>]*>', '', 'g') AS text FROM pages
 ), p AS (
   SELECT page_id, host, list_filter(list_transform(string_split(text, chr(10)), lambda v: regexp_replace(v, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g')), lambda v: v <> '') AS lines FROM x
-), t AS (SELECT host, count(*) AS pages FROM p GROUP BY host HAVING count(*) >= 5
+), t AS (SELECT host, count(*) AS pages FROM p GROUP BY host
 ), b AS (
   SELECT host, line FROM (SELECT host, line, count(*) AS n FROM (SELECT host, unnest(list_distinct(lines)) AS line FROM p) GROUP BY host, line) c
   JOIN t USING (host) WHERE n > 1 AND n > 0.2 * pages
@@ -140,10 +138,8 @@ def queries() -> dict[str, Query]:
         "op8_toxicity": op8_toxicity,
         "op9_exact_dedup": op9_exact_dedup,
         "op10_pii": op10_pii,
-        "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    own = {"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}
-    return own | {"op4_line_dedup": OP4_SQL, "op5_chat_formatting": OP5_SQL, "op7_decontamination": OP7_SQL, "op9_exact_dedup": OP9_SQL}
+    return {"op4_line_dedup": OP4_SQL, "op5_chat_formatting": OP5_SQL, "op7_decontamination": OP7_SQL, "op9_exact_dedup": OP9_SQL}
