@@ -303,12 +303,44 @@ def joined(equal: DataFrame) -> DataFrame:
     return dealt.mapInArrow(_joined, ", ".join(f"{c} long" for c in _RUNS))
 
 
-#: Kinds of fragments: contexts to compare, single runs of them (of hot anchors), digests of runs that should be equal.
-CONTEXT, RUN, DIGEST = 0, 1, 2
+#: Kinds of fragments: contexts to compare, single runs of them (of hot anchors), digests of runs that should be equal, known repeats.
+CONTEXT, RUN, DIGEST, KNOWN = 0, 1, 2, 3
 _PLACE = "place struct<kind:int,h:long,x:long,a:long,z:long>"
 _PARTS = "kind int, m long, d long, a long, x long, part binary"
 
 
+def _single_runs(text: Text, units: Units, places: list[tuple[int, int, int, int]], raw: bytes) -> list[tuple]:
+    """Fragments of the runs of hot anchors' contexts (item's first unit, d, a, z), combined within the block.
+
+    A run that an earlier document of the block has too is known to be a repeat; equal ones one unit apart are one fragment.
+    """
+    prefix = text.prefix()
+    leads: dict[bytes, int] = {}
+    chains: dict[tuple[bytes, int], list] = {}
+    out: list[list] = []
+    for f, d, low, high in sorted(places, key=lambda p: p[1:]):
+        base = np.arange(f + low, f + high - units.length + 1)
+        u, v = text.ranges(base, base + units.length)
+        marks = common.span_hash(prefix, base, base + units.length).view(np.int64)
+        for m, b, i, j in zip(marks.tolist(), (base - f).tolist(), u.tolist(), v.tolist(), strict=True):
+            run = raw[i:j]
+            lead, chain = leads.setdefault(run, d), chains.get((run, d))
+            if chain and b <= chain[3] + chain[4]:
+                continue  # met in an overlapping context
+            known = lead != d or (chain is not None and not units.strict)
+            if chain and known == (chain[0] == KNOWN) and b == chain[3] + chain[4] + 1:
+                chain[4] += 1
+            else:
+                chain = [KNOWN if known else RUN, d if known else m, d, b, 0, f]
+                chains[run, d] = chain
+                out.append(chain)
+    rows = []
+    for kind, m, d, b, more, f in out:
+        i, j = (int(v[0]) for v in text.ranges(np.array([f + b]), np.array([f + b + units.length + more])))
+        rows.append((kind, m, d, b, b + units.length + more if kind == KNOWN else 0, b"" if kind == KNOWN else raw[i:j]))
+    return rows
+
+
 def _fragments(units: Units):
     """Texts with places to fragments (kind, m, d, a, x, part); of a digest m, a and d are the place and size of the earlier run."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -336,13 +368,7 @@ def _fragments(units: Units):
                         rows.append(row)
                 hot = np.flatnonzero(k == RUN)
                 if len(hot):
-                    prefix = text.prefix()
-                    for n in hot.tolist():
-                        s = np.arange(low[n], high[n] - units.length + 1)
-                        base = text.first[item[n]] + s
-                        u, v = text.ranges(base, base + units.length)
-                        marks = common.span_hash(prefix, base, base + units.length).view(np.int64)
-                        rows += [(RUN, q, d[n], b, 0, raw[f:g]) for q, b, f, g in zip(marks.tolist(), s.tolist(), u.tolist(), v.tolist(), strict=True)]
+                    rows += _single_runs(text, units, [(text.first[item[n]], d[n], low[n], high[n]) for n in hot.tolist()], raw)
                 for n in range(0, len(rows), 20_000):
                     columns = zip(*rows[n : n + 20_000], strict=True)
                     types = (pa.int32(), *[pa.int64()] * 4, pa.binary())
@@ -390,8 +416,9 @@ def _compare(compare: Compare):
         size, now, first = 0, None, None
         for batch in batches:
             failed: list[tuple] = []
+            known: list[tuple] = []
             for row in zip(*(batch.column(c).to_pylist() for c in ("kind", "m", "d", "a", "x", "part")), strict=True):
-                kind, m, d, a, _, part = row
+                kind, m, d, a, x, part = row
                 if kind == DIGEST:
                     if now == (kind, m, d, a):
                         if part != first and (not failed or failed[-1] != (m, a, a + d)):
@@ -399,6 +426,9 @@ def _compare(compare: Compare):
                     else:
                         now, first = (kind, m, d, a), part
                     continue
+                if kind == KNOWN:
+                    known.append((d, a, x))
+                    continue
                 new = now != (kind, m)
                 if size >= CHUNK and (new or kind == RUN):
                     yield compared()
@@ -410,6 +440,8 @@ def _compare(compare: Compare):
                 size += len(part)
             if failed:
                 yield spans(zip(*failed, strict=True), True)
+            if known:
+                yield spans(zip(*known, strict=True))
         if held:
             yield compared()
     return run
