@@ -131,39 +131,59 @@ def adjacent_prefixes(suffixes: np.ndarray, keys: np.ndarray, limit: int) -> np.
     return np.minimum(out, limit)
 
 
-#: Where strings of LENGTH bytes that hold the anchor may lie to its left, in steps, and what they then share to its right at least.
-_SHARED = [(left, max(0, LENGTH - UNITS.gram - left - 17)) for left in range(0, LENGTH - UNITS.gram, 18)]
+def shared_parts(parts: list[bytes], group: np.ndarray, left: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The parts of fragments (fragment, start, end) that may hold strings of LENGTH bytes which others of their group hold too.
 
-
-def possible(text: np.ndarray, begin: np.ndarray, sizes: np.ndarray, group: np.ndarray, left: np.ndarray) -> np.ndarray:
-    """Which fragments may share a string of LENGTH bytes around the anchor, at ``left`` (-1: anywhere), with others of their group.
-
-    Such a string reaches 0 to 17, 18 to 35, ... bytes to the anchor's left, and in each case holds a known range around it; only
-    fragments that have none of these ranges' hashes in common with others are left out.
+    A string that fragments share around their anchor, which lies at ``left``, starts equally far from it in both, so only such places
+    are compared, by hash: what has no equal hash is left out, what has one is a candidate.  With ``left`` -1, fragments stay whole.
     """
-    out = left < 0
-    prefix, anchor = common.prefix_hash(text), begin + left
-    for to_left, to_right in _SHARED:
-        a, z = anchor - to_left, anchor + UNITS.gram + to_right
-        inside = np.flatnonzero((left >= to_left) & (z <= begin + sizes))
-        h = common.span_hash(prefix, a[inside], z[inside]) ^ common.mix(group[inside].astype(U64))
-        order = np.argsort(h, kind="stable")
-        same = h[order][1:] == h[order][:-1]
-        out[inside[order[1:][same]]] = True
-        out[inside[order[:-1][same]]] = True
-    return out
+    sizes = np.array([len(p) for p in parts])
+    begin = np.cumsum(sizes) - sizes
+    whole = np.flatnonzero(left < 0)
+    runs = np.where(left < 0, 0, np.maximum(0, np.minimum(left, sizes - LENGTH) + 1))  # starts from the left end up to the anchor
+    which = np.repeat(np.arange(len(parts)), runs)
+    start = np.arange(len(which)) - np.repeat(np.cumsum(runs) - runs, runs)
+    prefix = common.prefix_hash(np.frombuffer(b"".join(parts), np.uint8))
+    at = begin[which] + start
+    h = common.span_hash(prefix, at, at + LENGTH) ^ common.mix(group[which].astype(U64) * U64(512) + (left[which] - start).astype(U64))
+    order = np.argsort(h, kind="stable")
+    same = h[order][1:] == h[order][:-1]
+    shared = np.zeros(len(which), bool)
+    shared[order[1:][same]] = True
+    shared[order[:-1][same]] = True
+    which, start = which[shared], start[shared]
+    new = np.ones(len(which), bool)
+    new[1:] = (which[1:] != which[:-1]) | (start[1:] != start[:-1] + 1)
+    first = np.flatnonzero(new)
+    last = np.append(first[1:], len(which)) - 1 if len(first) else first
+    return np.concatenate([whole, which[first]]), np.concatenate([0 * whole, start[first]]), np.concatenate([sizes[whole], start[last] + LENGTH])
 
 
 def later_strings(parts: list[bytes], d: np.ndarray, a: np.ndarray, group: np.ndarray | None = None, left: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Spans of the fragments' strings of LENGTH bytes that start earlier (by document, then place) in another place too.
 
-    ``group`` numbers the fragments of one anchor, which lies at ``left``; without them any two fragments may share any string.
+    ``group`` numbers the fragments of one anchor, which lies at ``left``; without them any two fragments may share any string.  Of parts
+    of a group with the same bytes the earliest alone is sorted: all of the others starts earlier there.
     """
-    if left is not None:
-        sizes = np.array([len(p) for p in parts])
-        kept = np.flatnonzero(possible(np.frombuffer(b"".join(parts), np.uint8), np.cumsum(sizes) - sizes, sizes, group, left))
-        parts, d, a = [parts[k] for k in kept.tolist()], d[kept], a[kept]
-    if len(parts) < 1:
+    if left is None:
+        return _sorted_strings(parts, d, a)
+    which, start, end = shared_parts(parts, group, left)
+    order = np.lexsort((a[which] + start, d[which], group[which]))
+    own, place = d[which], a[which] + start
+    firsts: dict[tuple[int, bytes], int] = {}
+    again = []
+    for k, i, x, z, g in zip(order.tolist(), which[order].tolist(), start[order].tolist(), end[order].tolist(), group[which][order].tolist(), strict=True):
+        first = firsts.setdefault((g, parts[i][x:z]), k)
+        if (own[first], place[first]) != (own[k], place[k]):  # contexts of a document that overlap may give the same part
+            again.append(k)
+    kept = list(firsts.values())
+    found = _sorted_strings([part for _, part in firsts], own[kept], place[kept])
+    return tuple(np.concatenate([x, y]) for x, y in zip(found, (own[again], place[again], (a[which] + end)[again]), strict=True))
+
+
+def _sorted_strings(parts: list[bytes], d: np.ndarray, a: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The spans of ``later_strings`` by the order of all suffixes and their adjacent common prefixes."""
+    if not parts:
         return d[:0], a[:0], a[:0]
     sizes = np.array([len(p) for p in parts])
     text = np.frombuffer(b"\0".join([p.translate(_SHIFTED) for p in parts]) + b"\0", np.uint8)
