@@ -30,6 +30,8 @@ SAMPLE_ROWS = 12_000
 CANDIDATES = 20_000
 #: A term of the lexicon has at least this log-odds weight, and is in this share of the toxic rows (and in 3 at least).
 MIN_WEIGHT, MIN_SHARE = 3.0, 0.004
+#: Words with accents whose weight a worker remembers.
+REMEMBERED = 200_000
 #: Lengths of the word beginnings that are weighed beside whole words.
 STEMS = range(4, 10)
 
@@ -71,9 +73,15 @@ _FOLD = _Fold()
 _APART = re.compile(r"(?<!\w)\w([.\-_*·])\w(?:\1\w){2,}(?!\w)")
 
 
+#: What each of them holds; quick to rule out.
+_SIGNS = re.compile(r"([.\-_*·])\w\1\w\1\w")
+
+
 def fold(text: str | None) -> str:
     """The folded text: words with one space before and after each; letters that signs pull apart (i.d.i.o.t) are one word."""
-    joined = _APART.sub(lambda m: m[0].replace(m[1], ""), text or "")
+    joined = text or ""
+    if _SIGNS.search(joined):
+        joined = _APART.sub(lambda m: m[0].replace(m[1], ""), joined)
     return " " + " ".join(joined.translate(_FOLD).split()) + " "
 
 
@@ -94,9 +102,10 @@ class Model:
     exceptions: tuple[str, ...] = EXCEPTIONS
     coefficients: tuple[float, float, float] = (-2.0, 1.0, 1.0)
     _automaton: object = field(default=None, repr=False, compare=False)
+    _bare: dict[str, float] = field(default_factory=dict, repr=False, compare=False)
 
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"_automaton": None}
+        return self.__dict__ | {"_automaton": None, "_bare": {}}
 
     def automaton(self):
         if self._automaton is None:
@@ -123,9 +132,21 @@ class Model:
         if spared:
             hits = [(at, w) for at, w in hits if not any(a <= at <= z - 1 for a, z in spared)]
         # words that only match without their accents; accents that a language has of its own do not hide a match
-        total = sum(w for _, w in hits) + sum(self._weight(bare(w)) for w in set(_MARKED.findall(words)) if not self._weight(w))
+        total = sum(w for _, w in hits)
+        if not words.isascii():
+            total += sum(map(self._bare_weight, set(_MARKED.findall(words))))
         return math.log1p(total), math.log1p(100 * total / words.count(" "))
 
+    def _bare_weight(self, word: str) -> float:
+        """What a word with accents weighs without them, if it weighs nothing with them; remembered for many words."""
+        found = self._bare.get(word)
+        if found is None:
+            found = 0.0 if self._weight(word) else self._weight(bare(word))
+            if len(self._bare) >= REMEMBERED:
+                self._bare.clear()
+            self._bare[word] = found
+        return found
+
     def _weight(self, word: str) -> float:
         return sum(weight for _, (weight, _) in self.automaton().iter(f" {word} ") if weight is not None)
 
