@@ -18,6 +18,8 @@ from pyspark.sql import types as T
 BROADCAST_ROWS, BROADCAST_BYTES = 1_000_000, 32 << 20
 #: Bytes that a value of fixed size and the rest of a row take at most in a broadcast table.
 _ROW_BYTES = 32
+#: Rows of one key that go to one task in a dealt join.
+HOT_ROWS = 1024
 #: Bytes of text handled at once by the numpy kernels; a longer document is handled alone.
 BLOCK_BYTES = 2 << 20
 
@@ -79,6 +81,23 @@ def maybe_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if got.n <= rows and got.b <= BROADCAST_BYTES else df
 
 
+def dealt_join(many: DataFrame, one: DataFrame, on: list[str], by: str, counts: DataFrame, how: str = "inner") -> DataFrame:
+    """``many`` joined with ``one``, which has a row for each key ``on``; ``counts`` says in m how many rows of ``many`` have it.
+
+    Rows of a key of more than HOT_ROWS are dealt over several tasks by the hash of column ``by``; the key's row of ``one``
+    goes to each of them.  There is at most one such key for each HOT_ROWS rows of ``many``.
+    """
+    hot = cut(counts.where(F.col("m") > HOT_ROWS).select(*on, F.ceil(F.col("m") / HOT_ROWS).cast("int").alias("_parts")))
+    if hot.isEmpty():
+        return many.join(one, on, how)
+    hot = maybe_broadcast(hot)
+    part = F.coalesce(F.pmod(F.xxhash64(by), F.col("_parts")).cast("int"), F.lit(0))
+    dealt = many.join(hot, on, "left").withColumn("_part", part).drop("_parts")
+    parts = F.sequence(F.lit(0), F.coalesce(F.col("_parts"), F.lit(1)) - 1)
+    ones = one.join(hot, on, "left").withColumn("_part", F.explode(parts)).drop("_parts")
+    return dealt.join(ones, [*on, "_part"], how).drop("_part")
+
+
 def texts(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``key`` and ``text`` alone, null texts as empty ones."""
     return docs.select(F.col(key), F.coalesce(F.col(text), F.lit("")).alias("text"))

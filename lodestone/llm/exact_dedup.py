@@ -161,8 +161,8 @@ def exact_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     size = F.octet_length("text")
     prints = source.where(size <= HUGE).mapInArrow(_prints("k"), f"k {kind}, fp long, n_bytes long, text_sha256 string")
     prints = common.cut(prints.unionAll(_huge_prints(source.where(size > HUGE), kind)))
-    shared = prints.groupBy("fp", "n_bytes").agg(F.count("*").alias("n")).where("n > 1").select("fp", "n_bytes")
-    members = common.cut(prints.join(shared, ["fp", "n_bytes"]).select(F.col("k").alias("m"), "fp", "n_bytes"))
+    shared = common.cut(prints.groupBy("fp", "n_bytes").agg(F.count("*").alias("m")).where("m > 1"))
+    members = common.cut(common.dealt_join(prints, shared, ["fp", "n_bytes"], "k", shared).select(F.col("k").alias("m"), "fp", "n_bytes"))
     ids = members.groupBy("m", "fp", "n_bytes").agg(F.count("*").alias("_n")).drop("_n")
     compared = source.join(common.maybe_broadcast(ids), F.col("k").eqNullSafe(F.col("m"))).select("fp", "n_bytes", "text").mapInArrow(
         _chunks, "fp long, n_bytes long, chunk_no int, chunk binary"
@@ -172,8 +172,9 @@ def exact_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     )
     split = prints.withColumn("part", F.lit(""))
     if not differing.isEmpty():
-        split = prints.join(differing.withColumn("d", F.lit(True)), ["fp", "n_bytes"], "left").withColumn("part", F.when(F.col("d"), F.col("text_sha256")).otherwise("")).drop("d")
-    groups = split.groupBy("fp", "n_bytes", "part").agg(F.min(F.struct(F.col("k"))).alias("lead"), F.count("*").alias("group_size"))
-    return split.join(groups, ["fp", "n_bytes", "part"]).select(
-        F.col("k").alias(key), F.col("lead.k").alias("keep_id"), "group_size", F.col("k").eqNullSafe(F.col("lead.k")).alias("kept"), "text_sha256"
+        split = prints.join(common.maybe_broadcast(differing).withColumn("d", F.lit(True)), ["fp", "n_bytes"], "left").withColumn("part", F.when(F.col("d"), F.col("text_sha256")).otherwise("")).drop("d")
+    groups = split.groupBy("fp", "n_bytes", "part").agg(F.min(F.struct(F.col("k"))).alias("lead"), F.count("*").alias("m"))
+    groups = common.cut(groups)
+    return common.dealt_join(split, groups, ["fp", "n_bytes", "part"], "k", groups).select(
+        F.col("k").alias(key), F.col("lead.k").alias("keep_id"), F.col("m").alias("group_size"), F.col("k").eqNullSafe(F.col("lead.k")).alias("kept"), "text_sha256"
     )
