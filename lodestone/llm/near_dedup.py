@@ -188,9 +188,12 @@ def _verify(size: int, percent: int):
 
 
 def confirmed(pairs: DataFrame, source: DataFrame, size: int, percent: int, kind: str) -> DataFrame:
-    """The pairs (a, b) whose sets, from the texts in ``source`` (k, text), are similar enough."""
-    a = pairs.join(source.select(F.col("k").alias("a"), F.col("text").alias("text_a")), "a")
-    both = a.join(source.select(F.col("k").alias("b"), F.col("text").alias("text_b")), "b")
+    """The pairs (a, b; a checkpoint) whose sets, from the texts in ``source`` (k, text), are similar enough."""
+    both = pairs
+    for own, other in (("a", "b"), ("b", "a")):
+        side = source.select(F.col("k").alias(own), F.col("text").alias(f"text_{own}"))
+        counts = pairs.groupBy(own).agg(F.count("*").alias("m"))
+        both = common.dealt_join(both, side, [own], other, counts)
     return both.select("a", "b", "text_a", "text_b").sortWithinPartitions("b").mapInArrow(_verify(size, percent), f"a {kind}, b {kind}")
 
 
@@ -198,15 +201,17 @@ def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
     """Nodes (v, c: any component so far) with the least c reachable over ``links`` (a, b).
 
     Each round a node takes the least label among its neighbours' and then its label's own label, so distances halve; hot
-    nodes only enter reductions and joins whose other side has one row for each key.
+    nodes and labels only enter reductions and dealt joins.
     """
     links = common.cut(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    degrees = links.groupBy("b").agg(F.count("*").alias("m"))
     labels = nodes
     for _ in range(MAX_ROUNDS):
-        near = links.join(labels.select(F.col("v").alias("b"), "c"), "b").groupBy("a").agg(F.min("c").alias("near")).withColumnRenamed("a", "v")
-        stepped = labels.join(near, "v", "left").select("v", "c", F.least("c", "near").alias("new"))
-        jump = stepped.groupBy("c").agg(F.min("new").alias("to"))  # what a label's holders have met
-        moved = stepped.join(jump, "c").select("v", F.col("c").alias("old"), F.least("new", "to").alias("c"))
+        near = common.dealt_join(links, labels.select(F.col("v").alias("b"), "c"), ["b"], "a", degrees)
+        near = near.groupBy("a").agg(F.min("c").alias("near")).withColumnRenamed("a", "v")
+        stepped = common.cut(labels.join(near, "v", "left").select("v", "c", F.least("c", "near").alias("new")))
+        jump = common.cut(stepped.groupBy("c").agg(F.min("new").alias("to"), F.count("*").alias("m")))  # what a label's holders have met
+        moved = common.dealt_join(stepped, jump, ["c"], "v", jump).select("v", F.col("c").alias("old"), F.least("new", "to").alias("c"))
         moved = common.cut(moved)
         if moved.where("c < old").isEmpty():
             return moved.select("v", "c")
@@ -229,36 +234,43 @@ def near_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", size: i
     sets = common.cut(source.mapInArrow(_sets(size), "k long, n long, id binary, bands array<long>, odd array<long>"))
     full = sets.where("n > 0")
     # classes of the same words; their first key stands for all
-    classes = full.groupBy("id").agg(F.min("k").alias("v"))
-    heads = common.cut(full.join(classes, "id").where("k = v").select("v", "n", "bands", "odd"))
+    classes = common.cut(full.groupBy("id").agg(F.min("k").alias("v"), F.count("*").alias("m")))
+    heads = common.cut(full.join(classes.select(F.col("v").alias("k")), "k", "left_semi").select(F.col("k").alias("v"), "n", "bands", "odd"))
     banded = heads.select("v", "n", F.posexplode("bands").alias("band", "h"))
-    buckets = banded.groupBy("band", "h").agg(F.min("v").alias("lead"), F.count("*").alias("m")).where("m > 1")
-    members = common.cut(banded.join(buckets, ["band", "h"]).select("v", "n", "band", "h", "lead"))
-    stars = members.where("v <> lead").groupBy(F.col("v").alias("a"), F.col("lead").alias("b")).agg(F.min("n").alias("n"))
-    sizes = heads.select(F.col("v").alias("b"), F.col("n").alias("m"))
-    stars = stars.join(sizes, "b").where(100 * F.least("n", "m") >= percent * F.greatest("n", "m")).select("a", "b")
+    buckets = banded.groupBy("band", "h").agg(F.min(F.struct("v", "n")).alias("lead"), F.count("*").alias("m")).where("m > 1")
+    buckets = common.cut(buckets.select("band", "h", F.col("lead.v").alias("lead"), F.col("lead.n").alias("lead_n"), "m"))
+    members = common.cut(common.dealt_join(banded, buckets, ["band", "h"], "v", buckets).select("v", "n", "band", "h", "lead", "lead_n"))
+    stars = members.where(f"v <> lead AND 100 * least(n, lead_n) >= {percent} * greatest(n, lead_n)").select(F.col("v").alias("a"), F.col("lead").alias("b"))
+    stars = common.cut(stars.distinct())
     near = common.cut(members.select(F.col("v").alias("k")).distinct())
     wanted = source.join(common.maybe_broadcast(near), "k", "left_semi")
     links = common.cut(confirmed(stars, wanted, size, percent, "long"))
     labels = components(near.select(F.col("k").alias("v"), F.col("k").alias("c")), links)
-    # round two: between components, within buckets
-    held = members.join(labels, "v")
-    split = held.groupBy("band", "h").agg(F.min("c").alias("x"), F.max("c").alias("z")).where("x <> z").select("band", "h")
-    left = common.table(held.join(split, ["band", "h"], "left_semi").join(heads.select("v", "odd"), "v"))
-    one = left.select("band", "h", *(F.col(c).alias(f"{c}_a") for c in ("v", "n", "odd", "c")))
-    two = left.select("band", "h", *(F.col(c).alias(f"{c}_b") for c in ("v", "n", "odd", "c")))
+    # round two: between components, within buckets; members of the bucket's largest component are not compared with one another
+    held = common.cut(members.select("v", "n", "band", "h").join(labels, "v"))
+    split = held.groupBy("band", "h", "c").agg(F.count("*").alias("m")).groupBy("band", "h")
+    split = split.agg(F.max(F.struct("m", "c")).alias("most"), F.sum("m").alias("m"), F.count("*").alias("groups")).where("groups > 1")
+    split = common.cut(split.select("band", "h", F.col("most.c").alias("major"), "m"))
+    left = common.dealt_join(held, split, ["band", "h"], "v", split)
+    left = common.table(left.join(heads.select("v", "odd"), "v").withColumn("parts", F.ceil(F.col("m") / common.HOT_ROWS).cast("int")))
+    one = left.where("c <> major").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    one = one.select("band", "h", "part", "major", *(F.col(c).alias(f"{c}_b") for c in ("v", "n", "odd", "c")))
+    two = left.withColumn("part", F.pmod(F.xxhash64("v"), F.col("parts")).cast("int"))
+    two = two.select("band", "h", "part", *(F.col(c).alias(f"{c}_a") for c in ("v", "n", "odd", "c")))
     # similar sets differ in at most (100 - percent) hundredths of their union, which has at most 100 / percent times the smaller
     flips = " + ".join(f"bit_count(odd_a[{k}] ^ odd_b[{k}])" for k in range(PARITY // 64))
-    apart = F.expr(f"c_a < c_b AND 100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b) AND {percent} * ({flips}) <= {100 - percent} * least(n_a, n_b)")
-    pairs = one.join(two, ["band", "h"]).where(apart).select(F.col("v_a").alias("a"), F.col("v_b").alias("b")).distinct()
+    apart = F.expr(f"c_a <> c_b AND (c_a = major OR c_a < c_b) AND 100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b) AND {percent} * ({flips}) <= {100 - percent} * least(n_a, n_b)")
+    pairs = one.join(two, ["band", "h", "part"]).where(apart).select(F.col("v_a").alias("a"), F.col("v_b").alias("b")).distinct()
     more = common.cut(confirmed(common.cut(pairs), wanted, size, percent, "long"))
     if not more.isEmpty():
         labels = components(labels, links.union(more))
-    placed = sets.join(classes, "id", "left").join(labels, "v", "left")
-    found = placed.select(F.col("k").alias("d"), "n", F.when(F.col("n") == 0, F.col("k")).otherwise(F.coalesce("c", "v")).alias("c"))
+    named = classes.join(labels, "v", "left").select("id", F.coalesce("c", "v").alias("c"))
+    found = common.dealt_join(full.select(F.col("k").alias("d"), "n", "id"), named, ["id"], "d", classes).select("d", "n", "c")
+    found = found.unionAll(sets.where("n = 0").select(F.col("k").alias("d"), "n", F.col("k").alias("c")))
     out = rows.select("k", "d").join(found, "d")
     if names is None:
         smallest = F.when(F.col("c") != common.NULL_KEY, F.col("c")).cast(kind)
     else:
-        out, smallest = out.join(names.select(F.col("d").alias("c"), F.col("k").alias("own")).distinct(), "c"), F.col("own")
+        own = names.select(F.col("d").alias("c"), F.col("k").alias("own")).distinct()
+        out, smallest = common.dealt_join(out, own, ["c"], "d", out.groupBy("c").agg(F.count("*").alias("m"))), F.col("own")
     return out.select(F.col("k").alias(key), F.col("n").alias("n_shingles"), smallest.alias("component_id"), (F.col("d") == F.col("c")).alias("kept"))

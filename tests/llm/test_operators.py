@@ -8,6 +8,7 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -189,6 +190,24 @@ def test_near_dedup(spark, seed):
     assert result(near_dedup.near_dedup(frame(spark, docs), size=4), *NEAR) == brute.near(docs)
 
 
+def test_near_dedup_of_hot_groups(spark, monkeypatch):
+    """Buckets, classes, components and leads of many rows are dealt over several tasks."""
+    monkeypatch.setattr(common, "HOT_ROWS", 3)
+    docs = corpus(5)
+    rnd = random.Random(5)
+    words = [f"t{i}" for i in range(60)]
+    for d in range(100, 130):
+        copy = words[:]
+        for _ in range(d % 7):
+            copy[rnd.randrange(60)] = f"x{rnd.randrange(99)}"
+        docs.append((d, " ".join(copy)))
+    docs += [(d, " ".join(words)) for d in range(130, 140)] + [(d, " ") for d in range(140, 150)]
+    found = near_dedup.near_dedup(frame(spark, docs), size=4)
+    assert result(found, *NEAR) == brute.near(docs)
+    strings = near_dedup.near_dedup(frame(spark, docs).withColumn("doc_id", F.format_string("%06d", "doc_id")), size=4)
+    assert sorted((int(r.doc_id), r.n_shingles, int(r.component_id), r.kept) for r in strings.collect()) == sorted(tuple(r[c] for c in ("doc_id", *NEAR)) for r in found.collect())
+
+
 def test_sketches_estimate_similarity():
     rng = np.random.default_rng(1)
     for shared in (0.5, 0.8, 0.9):
@@ -228,6 +247,12 @@ def test_exact_dedup(spark):
     assert result(exact_dedup.exact_dedup(frame(spark, docs)), *EXACT) == brute.exact(docs)
 
 
+def test_exact_dedup_of_hot_groups(spark, monkeypatch):
+    monkeypatch.setattr(common, "HOT_ROWS", 3)
+    docs = corpus(9) + [(d, "one  text") for d in range(100, 120)] + [(d, None) for d in range(120, 130)]
+    assert result(exact_dedup.exact_dedup(frame(spark, docs)), *EXACT) == brute.exact(docs)
+
+
 def test_equal_fingerprints_are_compared(spark, monkeypatch):
     """All texts of one length share a fingerprint; the chunks still tell them apart."""
     docs = [(1, "aa"), (2, "bb"), (3, "aa"), (4, "cc"), (5, "ddd")]
