@@ -2,6 +2,7 @@ import collections
 import dataclasses
 import random
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -325,6 +326,23 @@ def test_packing(spark, task_items):
     assert got.sequence_id.nunique() <= -(-total // 2048) + (1 if task_items > 1000 else 4)
 
 
+def test_packing_encoder():
+    """The tokenizer's ids, also around long gaps and odd signs, and no memory of the words of earlier texts."""
+    path, ranks = map(public_tokenizers.path, ("byte_bpe_50k.json", "byte_bpe_50k.tiktoken"))
+    encode, whole = packing.encoder(path, ranks, public_tokenizers.PATTERN), Tokenizer.from_file(path)
+    rnd = random.Random(5)
+    signs = ["'s", "'re", "'S", " ", "\n", "\x1c", "\x85", "\xa0", "a", "\xe9", "e\u0301", "\u4e2d", "1", "\xb2", "_", "!", "'", "<|endoftext|>"]
+    odd = ["".join(rnd.choices(signs, k=rnd.randrange(12))) for _ in range(1000)]
+    for text in [*odd, " " * 1_200_000 + "x", "x" + "\n" * packing.LONG_GAP, " " * (packing.LONG_GAP - 1) + "x"]:
+        assert encode(text).tolist() == whole.encode(text, add_special_tokens=False).ids
+    tracemalloc.start()
+    for _ in range(100):
+        encode(" ".join(str(rnd.random()) for _ in range(300)))
+    held = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert held < 200_000
+
+
 def test_packing_keeps_tasks_bounded(spark, tmp_path, monkeypatch):
     """Pieces of which no two fit one sequence never meet in one task, whatever their number."""
     real = packing._pack
