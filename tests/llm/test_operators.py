@@ -1,5 +1,6 @@
 import collections
 import dataclasses
+import pathlib
 import random
 import re
 import tracemalloc
@@ -299,6 +300,25 @@ def test_chunks_of_huge_texts_are_dealt_out(spark, monkeypatch):
     assert result(exact_dedup.exact_dedup(frame(spark, docs)), *EXACT) == brute.exact(docs)
 
 
+def test_few_rows_are_few_files(spark):
+    """The files of the rounds that settle components go by the rows, not by the shuffle partitions; labels are the least ones reachable."""
+    nodes = spark.createDataFrame([(i, i) for i in range(24)], "v long, c long")
+    links = common.cut(spark.createDataFrame([(i, i + 3) for i in range(21)], "a long, b long").coalesce(1))
+    folder = pathlib.Path(spark.sparkContext._jsc.sc().getCheckpointDir().get().removeprefix("file:"))
+    conf = {"spark.sql.shuffle.partitions": "20", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    old = {k: spark.conf.get(k) for k in conf}
+    before = set(folder.glob("rdd-*/part-*"))
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        got = near_dedup.components(nodes, links)
+        assert {r.v: r.c for r in got.collect()} == {i: i % 3 for i in range(24)}
+        assert len(set(folder.glob("rdd-*/part-*")) - before) < 100
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+
+
 @pytest.mark.parametrize("task_items", [200_000, 8])
 def test_packing(spark, task_items):
     docs = [*corpus(1), (100, "<|endoftext|> x<|endoftext|>"), (101, "word " * 5000), (102, "Aa\U00011dbd's \u088f1 \U0001f600x"), (103, "\ua7ce's 12\u0558a")]
